@@ -1,0 +1 @@
+"""Reserved. Every input of this domain is a bounded table, so there is no stream operator to offer."""
