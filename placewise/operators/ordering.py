@@ -58,7 +58,8 @@ def cumulative(
     freq = known.groupBy(*keys, value).agg(w.alias("weight"))
 
     family = F.col(measure) if measure else F.lit(0)
-    by_hash = Window.partitionBy("_family").orderBy(F.xxhash64(value), F.col(value), *keys)
+    # naming the weight keeps this branch's aggregate equal to the others', so its shuffle is shared
+    by_hash = Window.partitionBy("_family").orderBy(F.xxhash64(value), F.col(value), *keys, "weight")
     sample = (
         freq.withColumn("_family", family)
         .withColumn("_pick", F.row_number().over(by_hash))
