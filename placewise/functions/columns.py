@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and the plain letter each one reduces to.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case letters that decompose to one ASCII letter, and that letter."""
+    pairs = []
+    for code in range(0xC0, 0x2000):
+        letter = chr(code)
+        plain = unicodedata.normalize("NFKD", letter).encode("ascii", "ignore").decode()
+        if letter == letter.lower() and len(plain) == 1 and plain.isalpha():
+            pairs.append((letter, plain.lower()))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _plain_letters()
 
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 MICROS_PER_DAY = 86400e6

@@ -59,8 +59,9 @@ def first_known_pivot(
     aggs = []
     for v in values:
         for m in measures:
-            seen = F.when((F.col(c) == v) & F.col(m).isNotNull(), F.struct(*order, m))
-            aggs.append(F.min(seen)[m].alias(f"{v}_{m}"))
+            ranked = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(m).alias("v"))
+            seen = F.when((F.col(c) == v) & F.col(m).isNotNull(), ranked)
+            aggs.append(F.min(seen)["v"].alias(f"{v}_{m}"))
     return df.groupBy(key).agg(*aggs)
 
 

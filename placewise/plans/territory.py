@@ -381,9 +381,14 @@ def access_gap(
     )
     out = out.crossJoin(F.broadcast(cuts)).withColumns(
         {
-            "ubs_supply_pressure": clip(1 - ratio(active_rate, "_median"), 0, 1),
+            # a rate against a median of zero is infinite, so it lands on the bound; 0 / 0 is unknown
+            "ubs_supply_pressure": F.when(F.col("_median") == 0, F.when(active_rate > 0, 0.0)).otherwise(
+                clip(1 - ratio(active_rate, "_median"), 0, 1)
+            ),
             "aps_coverage_gap": clip((80 - capped) / 80, 0, 1),
-            "pharmacy_access_signal": clip(ratio(pharmacy_rate, middle * 2), 0, 1),
+            "pharmacy_access_signal": F.when(middle == 0, F.when(pharmacy_rate > 0, 1.0)).otherwise(
+                clip(ratio(pharmacy_rate, middle * 2), 0, 1)
+            ),
         }
     )
     score = F.col("ubs_supply_pressure") * 40 + F.col("aps_coverage_gap") * 40 + F.col("pharmacy_access_signal") * 20
