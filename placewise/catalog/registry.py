@@ -109,7 +109,7 @@ tf AS (SELECT te.*, CASE WHEN coordinate_validity_pct > -1 AND coordinate_validi
 def territory(t):
     places = t.st_places.select("ibge_municipio", "ibge_municipio_7", "municipio_nome_ibge", "uf_sigla", "uf_nome", "regiao_nome")
     numbers = t.st_places.select("ibge_municipio", "populacao_residente", "area_km2")
-    return terr.enrich_territory(registry(t).select("ibge_municipio", "latitude", "longitude"), places, numbers)
+    return cut(terr.enrich_territory(registry(t).select("ibge_municipio", "latitude", "longitude"), places, numbers))
 
 
 TERRITORY_COLUMNS = (
@@ -176,7 +176,7 @@ cs AS (SELECT *, ((1 - {PCT_RANK.format('ubs_per_10k_population')}) * 0.45 + {PC
 
 
 def coverage(t):
-    return terr.enrich_coverage(territory(t), t.st_coverage)
+    return cut(terr.enrich_coverage(territory(t), t.st_coverage))
 
 
 COVERAGE_COLUMNS = (
@@ -589,7 +589,7 @@ sr AS (SELECT *, CAST(rank() OVER (ORDER BY score_base DESC) AS DOUBLE) AS r1, C
     "score_base score_coverage_led score_territory_led score_data_quality_led rank_std",
 )
 def _(t):
-    out = priority.priority_sensitivity(cut(coverage(t)))
+    out = priority.priority_sensitivity(coverage(t))
     return out.drop("uf_nome", "regiao_nome", "rank_coverage_led", "rank_territory_led", "rank_data_quality_led")
 
 
@@ -599,7 +599,7 @@ def _(t):
     "score_base score_territory_led",
 )
 def _(t):
-    return priority.priority_sensitivity(cut(coverage(t))).select("uf_sigla", "score_base", "score_territory_led")
+    return priority.priority_sensitivity(coverage(t)).select("uf_sigla", "score_base", "score_territory_led")
 
 
 @case(
@@ -609,5 +609,5 @@ def _(t):
     "base low high",
 )
 def _(t):
-    out = priority.priority_sensitivity(cut(coverage(t)))
+    out = priority.priority_sensitivity(coverage(t))
     return priority.scenario_band(out, "score_base", [f"score_{s}" for s in priority.PRIORITY_SCENARIOS])

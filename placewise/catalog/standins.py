@@ -169,6 +169,32 @@ STANDINS: dict[str, str] = {
               GROUP BY o_custkey % 900000) u ON u.m = p.m
           LEFT JOIN (SELECT ibge_municipality, count(*) AS n FROM st_pharmacies GROUP BY ibge_municipality) f
             ON f.ibge_municipality = p.ibge_municipio""",
+    "st_phase1_base": """
+        SELECT g.*, c.mobile_4g5g_resident_coverage_pct, c.fixed_broadband_accesses_per_100_people,
+          c.households_with_internet_pct, c.sia_quantity_all_procedures, c.physician_fte_40h,
+          c.physician_fte_40h / CAST(g.populacao_residente AS DOUBLE) * 1e5 AS physician_fte_per_100k,
+          CAST(g.populacao_residente AS DOUBLE) * (1 - g.aps_coverage_capped_pct / 1e2) AS potentially_uncovered_population
+        FROM st_gap_base g JOIN st_connectivity c ON c.ibge_municipio = g.ibge_municipio""",
+    "st_spatial": """
+        SELECT ibge_municipio, CASE WHEN m % 37 <> 0 THEN area_km2 IS NULL OR area_km2 > 200 END AS origin_quality_valid,
+          CASE WHEN m % 43 <> 0 THEN CAST((m * 131) % 1500 AS DOUBLE) / 1e2 END AS nearest_ubs_geodesic_km,
+          CAST((m * 173) % 700 AS DOUBLE) / 1e2 AS nearest_pharmacy_geodesic_km,
+          (m * 131) % 1500 >= 500 AND (m * 173) % 700 <= 200 AS hard_ubs_easy_pharmacy_flag
+        FROM st_places""",
+    "st_routes": """
+        SELECT ibge_municipio_7, CAST((m * 131) % 400 AS DOUBLE) / 1e1 AS active_ubs_travel_time_minutes,
+          CAST((m * 173) % 120 AS DOUBLE) / 1e1 AS osm_pharmacy_travel_time_minutes,
+          (m * 131) % 400 >= 150 AND (m * 173) % 120 <= 50 AS phase3_routed_hard_ubs_easy_pharmacy_flag
+        FROM st_places WHERE area_km2 > 2000""",
+    "st_access": """
+        SELECT ibge_municipio_7, CAST(80 + (m * 11) % 25 AS DOUBLE) / 1e2 AS phase5_population_origin_coverage_ratio,
+          CAST(90 + (m * 7) % 11 AS DOUBLE) / 1e2 AS phase5_distance_coverage_ratio,
+          CAST((m * 131) % 900 AS DOUBLE) / 1e1 AS phase5_weighted_p90_ubs_km,
+          CAST((m * 17) % 101 AS DOUBLE) / 1e2 AS phase5_population_share_pharmacy_le_2km,
+          CAST((m * 19) % 61 AS DOUBLE) / 1e2 AS phase5_population_share_hard_ubs_easy_pharmacy,
+          CASE WHEN area_km2 > 300 THEN 'A_intramunicipal_population_weighted' ELSE 'B2_municipal_population_proxy' END
+            AS phase5_access_evidence_grade, 'ready' AS phase5_precision_status
+        FROM st_places WHERE populacao_residente IS NOT NULL""",
     # ---- media tables
     "st_people": "SELECT p_partkey AS tmdb_id, p_name AS name FROM part WHERE p_size > 10",
     "st_orphans": "SELECT p_partkey AS tmdb_id FROM part WHERE p_size <= 3",
