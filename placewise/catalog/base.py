@@ -8,11 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewise.catalog.standins import Tables, with_standins
+from placewise.runtime import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stage(t: Tables, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A phase result as a written table, built once per application and data folder.
+
+    Later phases read the table, as a chain of jobs would.
+    """
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = cut(build())
+    return _TABLES[key]
+
+
+def forget_stages() -> None:
+    """Drop the references to built tables, so that the next query starts from the given tables."""
+    _TABLES.clear()
+
+
 def _digits(spec: str) -> dict[str, int]:
     """'a b:2' -> {'a': 6, 'b': 2}"""
     out = {}

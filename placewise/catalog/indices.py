@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from placewise.catalog.base import case
+from placewise.catalog.base import case, stage
 from placewise.operators import draws as dr
 from placewise.operators.scoring import Component, add_percentiles, weighted_geometric, weighted_linear
 from placewise.plans import decisions as dec
@@ -83,7 +83,7 @@ oi AS (SELECT *, CASE WHEN NOT core THEN 'insufficient_data' WHEN NOT obs THEN '
 
 
 def opportunity(t):
-    return cut(ix.opportunity_index(t.st_gap_base))
+    return stage(t, "opportunity", lambda: ix.opportunity_index(stage(t, "gap_base", lambda: t.st_gap_base)))
 
 
 @case(
@@ -322,7 +322,7 @@ p1 AS (SELECT *, {rank_of('telemedicine_phase1_balanced', 'el1')} AS phase1_rank
 
 
 def phase1(t):
-    return cut(ix.phase1_index(t.st_phase1_base))
+    return stage(t, "phase1", lambda: ix.phase1_index(stage(t, "phase1_base", lambda: t.st_phase1_base)))
 
 
 P1_COLUMNS = (
@@ -382,7 +382,7 @@ p2 AS (SELECT *, {rank_of('telemedicine_phase2_balanced', 'el2')} AS phase2_rank
 
 
 def phase2(t):
-    return cut(ix.phase2_index(phase1(t).join(t.st_spatial, "ibge_municipio", "left")))
+    return stage(t, "phase2", lambda: ix.phase2_index(phase1(t).join(t.st_spatial, "ibge_municipio", "left")))
 
 
 P2_COLUMNS = (
@@ -436,7 +436,7 @@ p4 AS (SELECT *, CASE WHEN telemedicine_phase4_routed_validation IS NOT NULL THE
 
 
 def phase4(t):
-    return cut(ix.phase4_index(phase2(t).join(t.st_routes, "ibge_municipio_7", "left")))
+    return stage(t, "phase4", lambda: ix.phase4_index(phase2(t).join(t.st_routes, "ibge_municipio_7", "left")))
 
 
 @case(
@@ -466,7 +466,7 @@ p5 AS (SELECT *, {rank_of('telemedicine_precision_index', 'ok5')} AS phase5_prec
 
 
 def precision(t):
-    return cut(ix.precision_index(phase2(t), t.st_access))
+    return stage(t, "precision", lambda: ix.precision_index(phase2(t), t.st_access))
 
 
 P5_COLUMNS = (
@@ -504,7 +504,8 @@ dm AS (SELECT p4.*, CASE WHEN NOT (phase2_eligibility = 'eligible_phase2_geodesi
 
 
 def matrix(t):
-    return cut(dec.decision_matrix(phase4(t).withColumn("regiao_nome_oficial", F.col("regiao_nome"))))
+    named = lambda: phase4(t).withColumn("regiao_nome_oficial", F.col("regiao_nome"))
+    return stage(t, "matrix", lambda: dec.decision_matrix(named()))
 
 
 @case(
@@ -587,10 +588,8 @@ def _(t):
         (SELECT sum(top100) FROM sr) = (SELECT count(*) FROM p2 WHERE phase2_rank_balanced <= 100) AS state_top100_agrees""",
 )
 def _(t):
-    p2 = phase2(t)
-    p4 = cut(ix.phase4_index(p2.join(t.st_routes, "ibge_municipio_7", "left")))
-    m = cut(dec.decision_matrix(p4.withColumn("regiao_nome_oficial", F.col("regiao_nome"))))
-    out = dec.output_audit(p2, p4, m, cut(dec.state_summary(m)), ix.precision_index(p2, t.st_access))
+    m = matrix(t)
+    out = dec.output_audit(phase2(t), phase4(t), m, cut(dec.state_summary(m)), precision(t))
     return out.select(
         "phase2_rows", "phase2_scored_municipalities", "phase4_primary_routed_targets", "pilot_class_rows", "state_summary_rows",
         "state_top100_total", "top_state", "phase5_precision_eligible", "state_top100_agrees",
@@ -608,22 +607,21 @@ ly AS (SELECT g.ibge_municipio, g.municipio_nome_ibge, g.uf_sigla, g.active_ubs,
 
 
 def layer(t):
-    p2 = phase2(t)
-    p4 = cut(ix.phase4_index(p2.join(t.st_routes, "ibge_municipio_7", "left")))
-    m = dec.decision_matrix(p4.withColumn("regiao_nome_oficial", F.col("regiao_nome")))
     flag = F.when((F.col("active_ubs_per_100k") < 5) & (F.col("pharmacies") > 0), "consistent_mismatch")
-    gap = t.st_gap_base.withColumn("access_mismatch_flag", flag.otherwise("no_consistent_mismatch"))
-    return cut(
-        dec.dashboard_layer(
+    gap = stage(t, "gap_base", lambda: t.st_gap_base).withColumn("access_mismatch_flag", flag.otherwise("no_consistent_mismatch"))
+    return stage(
+        t,
+        "layer",
+        lambda: dec.dashboard_layer(
             gap,
             {
-                "phase2": (p2, ["telemedicine_phase2_balanced", "phase2_rank_balanced", "phase2_spatial_target_rank", "hard_ubs_easy_pharmacy_flag"]),
-                "phase4": (p4, ["phase4_interpretation", "phase4_routed_target_rank"]),
-                "matrix": (m, ["decision_class"]),
-                "precision": (ix.precision_index(p2, t.st_access), ["telemedicine_precision_index", "phase5_precision_rank"]),
+                "phase2": (phase2(t), ["telemedicine_phase2_balanced", "phase2_rank_balanced", "phase2_spatial_target_rank", "hard_ubs_easy_pharmacy_flag"]),
+                "phase4": (phase4(t), ["phase4_interpretation", "phase4_routed_target_rank"]),
+                "matrix": (matrix(t), ["decision_class"]),
+                "precision": (precision(t), ["telemedicine_precision_index", "phase5_precision_rank"]),
                 "absent": (None, ["not_built"]),
             },
-        )
+        ),
     )
 
 

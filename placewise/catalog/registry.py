@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from placewise.catalog.base import case
+from placewise.catalog.base import case, stage
 from placewise.operators import aggregates as ag
 from placewise.plans import priority, supply
 from placewise.plans import territory as terr
-from placewise.runtime import cut
 
 BOX = "latitude BETWEEN -34 AND 6 AND longitude BETWEEN -74 AND -34"
 
@@ -109,7 +108,8 @@ tf AS (SELECT te.*, CASE WHEN coordinate_validity_pct > -1 AND coordinate_validi
 def territory(t):
     places = t.st_places.select("ibge_municipio", "ibge_municipio_7", "municipio_nome_ibge", "uf_sigla", "uf_nome", "regiao_nome")
     numbers = t.st_places.select("ibge_municipio", "populacao_residente", "area_km2")
-    return cut(terr.enrich_territory(registry(t).select("ibge_municipio", "latitude", "longitude"), places, numbers))
+    rows = registry(t).select("ibge_municipio", "latitude", "longitude")
+    return stage(t, "territory", lambda: terr.enrich_territory(rows, places, numbers))
 
 
 TERRITORY_COLUMNS = (
@@ -176,7 +176,7 @@ cs AS (SELECT *, ((1 - {PCT_RANK.format('ubs_per_10k_population')}) * 0.45 + {PC
 
 
 def coverage(t):
-    return cut(terr.enrich_coverage(territory(t), t.st_coverage))
+    return stage(t, "coverage", lambda: terr.enrich_coverage(territory(t), t.st_coverage))
 
 
 COVERAGE_COLUMNS = (
@@ -268,7 +268,9 @@ gap AS (SELECT *, round(ubs_supply_pressure * 40 + aps_coverage_gap * 40 + pharm
 
 
 def status(t):
-    return supply.operational_status(t.st_registry, t.st_registry_latest, t.st_production)
+    return stage(
+        t, "status", lambda: supply.operational_status(t.st_registry, t.st_registry_latest, t.st_production)
+    )
 
 
 def gap(t):

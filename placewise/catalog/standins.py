@@ -262,7 +262,7 @@ def _source(name: str, dialect: str) -> str:
 def _needed(sql: str, dialect: str, found: list[str] | None = None) -> list[str]:
     """Derived tables a statement reads, dependencies first."""
     found = [] if found is None else found
-    for name in dict.fromkeys(re.findall(r"\bst_[a-z_]+\b", sql)):
+    for name in dict.fromkeys(re.findall(r"\bst_[a-z0-9_]+\b", sql)):
         if name not in found:
             _needed(_source(name, dialect), dialect, found)
             if name not in found:
