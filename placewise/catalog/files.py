@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from placewise.catalog.base import case, stage
 from placewise.catalog.registry import coverage, status, territory
-from placewise.catalog.registry import COVERAGE_CTES, STATUS_CTES, TERRITORY_CTES
+from placewise.catalog.registry import COVERAGE_CTES, STATUS_CTES
 from placewise.catalog.spatial import VALIDATION_SQL, shapes, validation
 from placewise.functions.columns import decimal_number
 from placewise.operators.joins import enrich

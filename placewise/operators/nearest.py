@@ -34,9 +34,9 @@ def _index(degrees: Column, offset: float, level: Column) -> Column:
     return F.floor((degrees + F.lit(offset)) * _scale(level)).cast("long")
 
 
-def _on_levels(points: DataFrame) -> DataFrame:
+def _on_levels(points: DataFrame, deepest: int = MAX_LEVEL) -> DataFrame:
     """One row per point and level with the cell it lies in."""
-    levels = F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL)))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(deepest)))
     return (
         points.withColumn("level", levels)
         .withColumn("x", _index(F.col("lon"), 180.0, F.col("level")))
@@ -71,7 +71,7 @@ def _to(lat: str, lon: str) -> Column:
     return half_chord_sq(F.col("olat"), F.col("olon"), F.col(lat), F.col(lon))
 
 
-def _start_cells(bounded: DataFrame) -> DataFrame:
+def _start_cells(bounded: DataFrame, deepest: int) -> DataFrame:
     """The few cells that cover the disc of the upper bound around each origin."""
     rho = F.asin(F.sqrt(F.col("bound"))) * 2
     lat_half = F.degrees(rho) * SLACK + 1e-9
@@ -83,7 +83,7 @@ def _start_cells(bounded: DataFrame) -> DataFrame:
         bounded.withColumn("_a", lat_half)
         .withColumn("_o", F.when(crosses, F.lit(360.0)).otherwise(lon_half))
         .withColumn("_fit", F.floor(F.log(F.lit(ROOT_SIDE) / (F.greatest("_a", "_o") * 2)) / F.log(F.lit(4.0))))
-        .withColumn("level", F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), F.col("_fit"))).cast("int"))
+        .withColumn("level", F.greatest(F.lit(0), F.least(F.lit(deepest), F.col("_fit"))).cast("int"))
     )
 
     def span(center: str, half: str, offset: float, limit: float) -> Column:
@@ -99,7 +99,10 @@ def _start_cells(bounded: DataFrame) -> DataFrame:
 
 
 def _tighten(frontier: DataFrame) -> DataFrame:
-    """Improve each origin's bound with the new cells, then drop cells that cannot beat it."""
+    """Improve each origin's bound with the new cells, then drop cells that cannot beat it.
+
+    A cell kept from the step before has no new representative and leaves the bound as it is.
+    """
     same = Window.partitionBy("olat", "olon")
     return (
         frontier.withColumn("bound", F.least("bound", F.min(_to("rep_lat", "rep_lon")).over(same)))
@@ -128,31 +131,35 @@ def nearest_facility(
         .groupBy(F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lon"))
         .agg(F.min(F.col(facility_id).cast("string")).alias("fid"))
     )
-    placed = _on_levels(points)
-    cells = cut(
-        placed.groupBy(*CELL).agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("lat", "lon")).alias("rep")
-        ).select(*CELL, "n", F.col("rep.lat").alias("rep_lat"), F.col("rep.lon").alias("rep_lon"))
+    counted = cut(
+        _on_levels(points)
+        .groupBy(*CELL)
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("lat", "lon")).alias("rep"))
+        .select(*CELL, "n", F.col("rep.lat").alias("rep_lat"), F.col("rep.lon").alias("rep_lon"))
     )
     opened = (F.col("n") > LEAF_CAPACITY) & (F.col("level") < MAX_LEVEL)
     # two scalars: is there any facility, and how deep does the densest area reach
-    any_cell, deepest = cells.agg(F.count(F.lit(1)), F.max(F.when(opened, F.col("level")))).first()
+    any_cell, open_level = counted.agg(F.count(F.lit(1)), F.max(F.when(opened, F.col("level")))).first()
     if not any_cell:
         raise ValueError(f"No valid {label} facility coordinates")
+    steps = 0 if open_level is None else open_level + 1
+    cells = counted.filter(F.col("level") <= steps)  # nothing is opened below
+    placed = _on_levels(points, steps)
 
-    spots = (
+    # each distinct place is searched once; both tables below are read by several branches
+    spots = cut(
         origins.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
         .select(F.col(lat).cast("double").alias("olat"), F.col(lon).cast("double").alias("olon"))
         .distinct()
     )
     anywhere = points.agg(F.min(F.struct("lat", "lon")).alias("p"))  # one row
     own = _probe(
-        _on_levels(spots.select("olat", "olon", F.col("olat").alias("lat"), F.col("olon").alias("lon"))).select(
-            "olat", "olon", *CELL
-        ),
+        _on_levels(
+            spots.select("olat", "olon", F.col("olat").alias("lat"), F.col("olon").alias("lon")), steps
+        ).select("olat", "olon", *CELL),
         cells,
     )
-    bounded = (
+    bounded = cut(
         own.select("olat", "olon", _to("rep_lat", "rep_lon").alias("a"))
         .unionByName(
             spots.join(F.broadcast(anywhere)).select("olat", "olon", _to("p.lat", "p.lon").alias("a"))
@@ -160,35 +167,48 @@ def nearest_facility(
         .groupBy("olat", "olon")
         .agg(F.min("a").alias("bound"))
     )
-    frontier = _tighten(_probe(_start_cells(bounded), cells))
-
-    # one table for a step down: an opened cell leads to its children, any other cell to itself
-    parent = cells.filter(opened).select(*CELL)
-    children = cells.filter(F.col("level") > 0).select(
-        (F.col("level") - 1).alias("level"),
-        F.shiftright("x", 2).alias("x"),
-        F.shiftright("y", 2).alias("y"),
-        F.struct(*CELL, "rep_lat", "rep_lon").alias("to"),
-    )
-    step = parent.join(children, CELL).unionByName(
-        cells.filter(~opened).select(*CELL, F.struct(*CELL, "rep_lat", "rep_lon").alias("to"))
+    frontier = _tighten(_probe(_start_cells(bounded, steps), cells))
+
+    # A step down swaps an opened cell for its children. Opened cells are few (each holds more than
+    # LEAF_CAPACITY points), so this table is small and the engine broadcasts it while it is.
+    children = cut(
+        cells.filter(opened)
+        .select(*CELL)
+        .join(
+            cells.filter(F.col("level") > 0).select(
+                (F.col("level") - 1).alias("level"),
+                F.shiftright("x", 2).alias("x"),
+                F.shiftright("y", 2).alias("y"),
+                F.struct(*CELL, "rep_lat", "rep_lon").alias("to"),
+            ),
+            CELL,
+        )
     )
-    for _ in range(0 if deepest is None else deepest + 1):
+    for _ in range(steps):
+        below = frontier.join(children, CELL, "left")
         frontier = _tighten(
-            frontier.join(step, CELL).select("olat", "olon", "bound", "to.*")
+            below.select(
+                "olat",
+                "olon",
+                "bound",
+                *[F.coalesce(F.col("to")[c], F.col(c)).alias(c) for c in CELL],
+                "to.rep_lat",
+                "to.rep_lon",
+            )
         )
 
     leaves = _probe(placed, cells.filter(~opened).select(*CELL)).select(*CELL, "lat", "lon", "fid")
-    km = F.round(F.asin(F.sqrt(_to("lat", "lon"))) * (2.0 * radius), 9)
+    # whole micrometres: equal distances compare equal, and no decimal rounding runs per pair
+    tiny = F.floor(F.asin(F.sqrt(_to("lat", "lon"))) * (2e9 * radius) + 0.5)
     found = (
         frontier.join(leaves, CELL)
         .groupBy("olat", "olon")
-        .agg(F.min(F.struct(km.alias("km"), F.col("fid").alias("id"))).alias("_n"))
+        .agg(F.min(F.struct(tiny.alias("d"), F.col("fid").alias("id"))).alias("_n"))
         .select(
             F.col("olat").alias("_olat"),
             F.col("olon").alias("_olon"),
             F.col("_n.id").alias(f"nearest_{label}_id"),
-            F.col("_n.km").alias(f"nearest_{label}_geodesic_km"),
+            (F.col("_n.d") / 1e9).alias(f"nearest_{label}_geodesic_km"),
         )
     )
     on = (F.col(lat).cast("double") == F.col("_olat")) & (F.col(lon).cast("double") == F.col("_olon"))
