@@ -202,10 +202,8 @@ def draws_cte(groups: dict, shares: dict) -> str:
     for g, a in groups.items():
         whole = " + ".join(f"{g}_g{i}" for i in range(len(a)))
         norm += [f"{g}_g{i} / ({whole}) AS {g}_w{i}" for i in range(len(a))]
-    return (
-        f"dg AS (SELECT CAST(range AS INT) AS draw, {', '.join(parts)} FROM (SELECT range FROM range({dr.DEFAULT_DRAWS})) x(range), "
-        f"(SELECT CAST(range AS INT) AS draw) y), dw AS (SELECT *, {', '.join(norm)} FROM dg)"
-    )
+    numbered = f"(SELECT CAST(range AS INT) AS draw FROM range({dr.DEFAULT_DRAWS})) x"
+    return f"dg AS (SELECT draw, {', '.join(parts)} FROM {numbered}), dw AS (SELECT *, {', '.join(norm)} FROM dg)"
 
 
 def draw_score(columns: list[str], group: str) -> str:
@@ -222,16 +220,6 @@ stats AS (SELECT ibge_municipio, quantile_cont(score, 0.5) AS {prefix}score_medi
     avg(CASE WHEN rank <= greatest(1, ceil(n * 0.10)) THEN 1e0 ELSE 0e0 END) AS {prefix}probability_top_decile FROM rk GROUP BY 1)"""
 
 
-# the range column is named draw before it is hashed
-def _draws(groups: dict, shares: dict) -> str:
-    return draws_cte(groups, shares).replace(
-        f"SELECT CAST(range AS INT) AS draw, ", "SELECT draw, "
-    ).replace(
-        f"FROM (SELECT range FROM range({dr.DEFAULT_DRAWS})) x(range), (SELECT CAST(range AS INT) AS draw) y)",
-        f"FROM (SELECT CAST(range AS INT) AS draw FROM range({dr.DEFAULT_DRAWS})) x)",
-    )
-
-
 OPP_SCORE = (
     "CASE WHEN gap = 0 THEN 0 ELSE exp(ln(greatest(1e-6, least(1e0, "
     + draw_score(["p_vol", "p_gap", "p_ubs"], "need")
@@ -240,7 +228,7 @@ OPP_SCORE = (
     + ") * (1 - share)) * 100 END"
 )
 OPP_DRAW_CTES = (
-    f"{OPP_CTES}, {_draws(ix.OPPORTUNITY_DRAWS, {'share': (0.40, 0.70)})}, oe AS (SELECT * FROM oi WHERE el), "
+    f"{OPP_CTES}, {draws_cte(ix.OPPORTUNITY_DRAWS, {'share': (0.40, 0.70)})}, oe AS (SELECT * FROM oi WHERE el), "
     + stats_cte("oe", OPP_SCORE, True, "mc_")
 )
 MC = "score_median rank_median:2 rank_p05:2 rank_p95:2 probability_top_decile"
@@ -353,7 +341,7 @@ P1_SCORE = (
 
 @case(
     "ix_14_phase1_draws",
-    f"WITH {P1_CTES}, {_draws(ix.PHASE1_DRAWS, {'pharmacy_share': (0.60, 0.80), 'need_share': (0.40, 0.70)})}, pe AS (SELECT * FROM p1 WHERE el1), "
+    f"WITH {P1_CTES}, {draws_cte(ix.PHASE1_DRAWS, {'pharmacy_share': (0.60, 0.80), 'need_share': (0.40, 0.70)})}, pe AS (SELECT * FROM p1 WHERE el1), "
     + stats_cte("pe", P1_SCORE, False, "phase1_mc_")
     + " SELECT p1.ibge_municipio, stats.* EXCLUDE (ibge_municipio) FROM p1 LEFT JOIN stats USING (ibge_municipio)",
     rounded_stats("phase1_mc_"),
@@ -410,7 +398,7 @@ P2_SCORE = (
 
 @case(
     "ix_15_phase2_draws",
-    f"WITH {P2_CTES}, {_draws(ix.PHASE2_DRAWS, {})}, qe AS (SELECT * FROM p2 WHERE el2), "
+    f"WITH {P2_CTES}, {draws_cte(ix.PHASE2_DRAWS, {})}, qe AS (SELECT * FROM p2 WHERE el2), "
     + stats_cte("qe", P2_SCORE, False, "phase2_mc_")
     + " SELECT p2.ibge_municipio, stats.* EXCLUDE (ibge_municipio) FROM p2 LEFT JOIN stats USING (ibge_municipio)",
     rounded_stats("phase2_mc_"),

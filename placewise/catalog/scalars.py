@@ -537,12 +537,13 @@ def _(t):
 
 @case(
     "or_04_ordered_names",
-    """SELECT n_regionkey, string_agg(n_name || '/' || CAST(n_nationkey AS STRING), '; ' ORDER BY n_nationkey DESC) AS names
-       FROM nation GROUP BY 1""",
+    """SELECT l_orderkey, string_agg(l_returnflag || '/' || CAST(l_partkey AS STRING), '; ' ORDER BY l_quantity DESC, l_partkey, l_returnflag) AS names
+       FROM lineitem GROUP BY 1""",
 )
 def _(t):
-    items = F.array_sort(F.collect_list(F.struct(-F.col("n_nationkey"), F.format_string("%s/%d", "n_name", "n_nationkey").alias("t"))))
-    return t.nation.groupBy("n_regionkey").agg(F.array_join(F.transform(items, lambda s: s["t"]), "; ").alias("names"))
+    name = F.format_string("%s/%d", "l_returnflag", "l_partkey").alias("t")
+    items = F.array_sort(F.collect_list(F.struct(-F.col("l_quantity"), "l_partkey", "l_returnflag", name)))
+    return t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(items, lambda s: s["t"]), "; ").alias("names"))
 
 
 # ---- windows ------------------------------------------------------------------------

@@ -121,8 +121,9 @@ STANDINS: dict[str, str] = {
           p_name AS name,
           center_lat + CAST((p_partkey * 53) % 120 - 60 AS DOUBLE) / 1e3 AS latitude,
           center_lon + CAST((p_partkey * 71) % 120 - 60 AS DOUBLE) / 1e3 AS longitude
-        FROM part CROSS JOIN (SELECT count(*) AS n_places FROM customer) c
-          JOIN st_places ON (p_partkey * p_partkey) % n_places = m""",
+        FROM (SELECT part.*, (p_partkey * p_partkey) % n_places AS place
+                FROM part CROSS JOIN (SELECT count(*) AS n_places FROM customer) c) p
+          JOIN st_places ON place = m""",
     "st_coverage": """
         SELECT ibge_municipio, uf_sigla, municipio_nome_ibge AS municipio_nome_aps, period AS competencia_cnes,
           populacao_residente AS aps_populacao, CAST(4 + m % 9 AS BIGINT) AS qt_esf,

@@ -27,7 +27,8 @@ SLACK = 1.0 + 1e-9
 
 
 def _scale(level: Column) -> Column:
-    return F.pow(F.lit(4.0), level) / F.lit(ROOT_SIDE)
+    # an exact power of two, by a shift
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (level * 2).cast("int")).cast("double") / F.lit(ROOT_SIDE)
 
 
 def _index(degrees: Column, offset: float, level: Column) -> Column:
@@ -62,7 +63,11 @@ def _gap_to_cell() -> Column:
 
     dlat = outside(F.col("olat"), south, north)
     dlon = F.least(*[outside(F.col("olon") + turn, west, east) for turn in (0.0, 360.0, -360.0)])
-    half = lambda d: F.pow(F.sin(F.radians(d) / 2), 2)
+
+    def half(d: Column) -> Column:
+        s = F.sin(F.radians(d) / 2)
+        return s * s
+
     shrink = F.least(F.cos(F.radians(south)), F.cos(F.radians(north)))
     return half(dlat) + F.cos(F.radians(F.col("olat"))) * F.greatest(F.lit(0.0), shrink) * half(dlon)
 
@@ -71,6 +76,16 @@ def _to(lat: str, lon: str) -> Column:
     return half_chord_sq(F.col("olat"), F.col("olon"), F.col(lat), F.col(lon))
 
 
+def _unit(lat: str, lon: str, prefix: str) -> list[Column]:
+    """Unit-sphere coordinates, so that a pair costs three subtractions instead of trigonometry."""
+    phi, lam = F.radians(F.col(lat)), F.radians(F.col(lon))
+    return [
+        (F.cos(phi) * F.cos(lam)).alias(f"{prefix}x"),
+        (F.cos(phi) * F.sin(lam)).alias(f"{prefix}y"),
+        F.sin(phi).alias(f"{prefix}z"),
+    ]
+
+
 def _start_cells(bounded: DataFrame, deepest: int) -> DataFrame:
     """The few cells that cover the disc of the upper bound around each origin."""
     rho = F.asin(F.sqrt(F.col("bound"))) * 2
@@ -126,7 +141,7 @@ def nearest_facility(
     ignored, and none left is an error. Origins without coordinates get nulls. Equal
     distances go to the smallest id.
     """
-    points = (
+    points = cut(
         facilities.filter(F.col("latitude").between(-34, 6) & F.col("longitude").between(-74, -28))
         .groupBy(F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lon"))
         .agg(F.min(F.col(facility_id).cast("string")).alias("fid"))
@@ -197,11 +212,14 @@ def nearest_facility(
             )
         )
 
-    leaves = _probe(placed, cells.filter(~opened).select(*CELL)).select(*CELL, "lat", "lon", "fid")
+    leaves = _probe(placed, cells.filter(~opened).select(*CELL)).select(*CELL, "fid", *_unit("lat", "lon", "f"))
+    searched = frontier.select("olat", "olon", *CELL, *_unit("olat", "olon", "o"))
+    gap = [F.col(f"f{a}") - F.col(f"o{a}") for a in "xyz"]
+    chord = F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2])
     # whole micrometres: equal distances compare equal, and no decimal rounding runs per pair
-    tiny = F.floor(F.asin(F.sqrt(_to("lat", "lon"))) * (2e9 * radius) + 0.5)
+    tiny = F.floor(F.asin(F.least(F.lit(1.0), chord / 2)) * (2e9 * radius) + 0.5)
     found = (
-        frontier.join(leaves, CELL)
+        searched.join(leaves, CELL)
         .groupBy("olat", "olon")
         .agg(F.min(F.struct(tiny.alias("d"), F.col("fid").alias("id"))).alias("_n"))
         .select(
