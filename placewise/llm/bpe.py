@@ -31,7 +31,7 @@ KEPT, STRETCH = 200_000, 1 << 20
 #: A piece: leading ASCII white space and what follows up to the next.
 _PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space beyond ASCII: such a text is one piece, since a match may reach from it into a space.
-_WIDE = re.compile("[\x85\xa0 ᠎ -​    　﻿]")
+_WIDE = re.compile("[%s]" % "".join(map(chr, [0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])))
 
 
 def byte_characters() -> list[str]:
