@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm import bpe, chat, embeddings, language, lines, mixture, passages, simhash
+from placewise.llm import bpe, chat, counts, embeddings, language, lines, mixture, passages, simhash
 from placewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,18 @@ FROM e GROUP BY conv_id
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_repeated_lines(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is indexed, then edited in three places that follow from its length: a cut at a quarter,
+    twelve of its first characters put in at the middle, and ten characters replaced by its first ten in capitals at three quarters."""
+    docs = table(spark, sf_dir, "documents")
+    indexed = counts.index(docs)
+    edits = F.expr(
+        "array("
+        "named_struct('begin', length(text) div 4, 'end', length(text) div 4 + 20, 'text', ''), "
+        "named_struct('begin', length(text) div 2, 'end', length(text) div 2, 'text', concat(' ', substring(text, 3, 12))), "
+        "named_struct('begin', 3 * length(text) div 4, 'end', 3 * length(text) div 4 + 10, 'text', upper(substring(text, 1, 10))))"
+    )
+    return counts.recount(indexed.withColumn("edits", edits))
