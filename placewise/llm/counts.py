@@ -3,7 +3,7 @@
 A document's text is kept as leaves of whole pre-tokens with their characters and token counts, under a tree
 of sums (a segment tree laid out as a heap). An edit is found by walking down the character sums. Only the
 leaves it touches are encoded again, with as many neighbours as the boundary needs: leaves meet where white
-space follows a letter or digit, which no pre-token crosses, and if an edit takes that away the region
+space follows something else, which no pre-token crosses, and if an edit takes that away the region
 grows by a leaf. Then the sums above the changed leaves are updated.
 """
 
@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from placewise.llm.bpe import DEFAULT_RANKS, Codec, codec, read_ranks
 
 #: Characters of a leaf, about.
-LEAF = 512
+LEAF = 128
 EDITS = "array<struct<begin:int,end:int,text:string>>"
 
-#: A place where two leaves can meet: before white space, after a letter or digit.
-_SEAM = re.compile(r"(?<=[^\W_])(?=[ \t-\r])")
+#: A place where two leaves can meet: before white space, after something else.
+_SEAM = re.compile(r"(?<=\S)(?=[ \t-\r])")
 
 
 def leaves(text: str) -> list[str]:
