@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm import bpe, chat, counts, embeddings, language, lines, mixture, passages, simhash
+from placewise.llm import bpe, chat, counts, embeddings, language, lines, mixture, passages, quality, simhash
 from placewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "named_struct('begin', 3 * length(text) div 4, 'end', 3 * length(text) div 4 + 10, 'text', upper(substring(text, 1, 10))))"
     )
     return counts.recount(indexed.withColumn("edits", edits))
+
+
+@query
+def op6_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
