@@ -21,7 +21,7 @@ from placewise.llm.common import raw, rolled, written
 
 #: Characters of an n-gram; most model rows that are broadcast (12 bytes each); width of the band in
 #: quartile distances, and least distance from the median, both in log perplexity.
-ORDER, BROADCAST_ROWS, REACH, LEAST = 5, 4_000_000, 6.0, 0.25
+ORDER, BROADCAST_ROWS, REACH, LEAST = 5, 4_000_000, 7.0, 0.1
 #: Base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 UNKNOWN = "und"
