@@ -120,10 +120,13 @@ def discounts(counts: DataFrame) -> DataFrame:
     return rows.select("lang", *[x.alias(f"d{k}") for k, x in enumerate(d, 1)])
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+def kneser_ney(counts: DataFrame, order: int = ORDER, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """(grams, contexts) of raw n-gram counts: grams (lang, gram, logp) of every order, interpolated;
     contexts (lang, gram, logb), the weight of the lower order after a context; the empty gram holds the
-    probability of an unknown character. Lower orders count different left neighbours."""
+    probability of an unknown character. Lower orders count different left neighbours.
+
+    ``least``: n-grams of two characters or more that were counted less often are left out of grams, so
+    that texts back off from them. At 2 a document is not made likely by what it alone has."""
     tables = {order: counts.select("lang", "gram", F.col("n").alias("c"))}
     for n in range(order - 1, 0, -1):
         tables[n] = written(tables[n + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c")), f"order{n}")
@@ -139,8 +142,8 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFr
         below = lower.select("lang", F.col("gram").alias("rest"), F.col("logp").alias("low"))
         full = rows.join(sums, ["lang", "context"]).join(below, ["lang", "rest"])
         p = (F.col("c") - F.col("cut")) / F.col("total") + F.col("b") * F.exp("low")
-        lower = written(full.select("lang", "gram", F.log(p).alias("logp")), f"grams{n}")
-        grams.append(lower)
+        lower = written(full.select("lang", "gram", F.log(p).alias("logp"), "c"), f"grams{n}")
+        grams.append(lower.where(F.col("c") >= (least if n > 1 else 1)).select("lang", "gram", "logp"))
     return reduce(DataFrame.unionAll, grams), reduce(DataFrame.unionAll, contexts)
 
 
@@ -291,7 +294,7 @@ def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     """
     key = F.struct(F.col(id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("tkey"))
     rows = docs.select(key.alias("key"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("string").alias("text"))
-    grams, contexts = kneser_ney(written(gram_counts(rows), "grams"))
+    grams, contexts = kneser_ney(written(gram_counts(rows), "grams"), least=2)
     found = written(scored(rows, grams, contexts, broadcast_rows=broadcast_rows).withColumn("base_failed", base_failed()), "scored")
     limits = bands(found.where("not base_failed"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
