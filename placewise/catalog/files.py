@@ -8,7 +8,7 @@ from placewise.catalog.base import case, stage
 from placewise.catalog.registry import coverage, status, territory
 from placewise.catalog.registry import COVERAGE_CTES, STATUS_CTES
 from placewise.catalog.spatial import VALIDATION_SQL, shapes, validation
-from placewise.functions.columns import decimal_number
+from placewise.functions.columns import decimal_number, zero_pad
 from placewise.operators.joins import enrich
 from placewise.plans import decisions, priority, supply
 from placewise.plans import territory as terr
@@ -53,13 +53,21 @@ def _(t):
     return df.withColumn("center_lat", decimal_number("center_lat"))
 
 
-@case("src_04_string_identifiers", "SELECT cnes, cbo FROM (SELECT lpad(cnes, 7, '0') AS cnes, cbo FROM st_professionals) x")
+@case("src_04_string_identifiers", "SELECT cnes, cbo FROM (SELECT lpad(cnes, CAST(greatest(7, length(cnes)) AS INT), '0') AS cnes, cbo FROM st_professionals) x")
 def _(t):
     path = work_path(t.spark, "professionals")
-    writers.write_csv(t.st_professionals.select(F.lpad("cnes", 7, "0").alias("cnes"), "cbo"), path)
+    writers.write_csv(t.st_professionals.select(zero_pad("cnes", 7).alias("cnes"), "cbo"), path)
     return readers.read_csv(t.spark, path, "cnes string, cbo string")
 
 
+@case("src_17_quoted_text", "SELECT doc_id, text, source FROM documents")
+def _(t):
+    """Texts with quotes, separators and line breaks come back as they were."""
+    path = work_path(t.spark, "texts")
+    writers.write_csv(t.documents.select("doc_id", "text", "source"), path)
+    return readers.read_csv(t.spark, path, "doc_id bigint, text string, source string", multi_line=True)
+
+
 @case(
     "src_05_newest_period",
     "SELECT ibge_municipio, aps_capacidade_equipe FROM st_coverage WHERE competencia_cnes = '02/2026'",
@@ -75,7 +83,7 @@ def _(t):
 def _(t):
     path = work_path(t.spark, "origins")
     writers.write_csv(t.st_origins.select("origin_id", "ibge_municipio_7", "origin_population"), path, gzip=True)
-    return readers.read_gzip_csv(t.spark, path, "origin_id string, ibge_municipio_7 string, origin_population double", 8)
+    return readers.read_gzip_csv(t.spark, path, "origin_id string, ibge_municipio_7 string, origin_population double")
 
 
 # ---- payloads ---------------------------------------------------------------------------------

@@ -378,7 +378,7 @@ def facilities(t):
 FACILITY_CTES = """fa AS (SELECT r.cnes, r.ibge AS ibge_municipio, l.cnes IS NOT NULL AS active FROM st_registry r
     LEFT JOIN st_registry_latest l USING (cnes))"""
 LINK_CTES = f"""{FACILITY_CTES},
-lk AS (SELECT ibge_municipio, f.cnes, person, cbo, active, max(hours) AS hours FROM (SELECT lpad(cnes, 7, '0') AS cnes,
+lk AS (SELECT ibge_municipio, f.cnes, person, cbo, active, max(hours) AS hours FROM (SELECT lpad(cnes, CAST(greatest(7, length(cnes)) AS INT), '0') AS cnes,
     trim(coalesce(nullif(cns_prof, ''), nullif(cpf_prof, ''), '')) AS person, cbo, CAST(hora_amb AS DOUBLE) AS hours
     FROM st_professionals) p JOIN fa f ON f.cnes = p.cnes WHERE starts_with(cbo, '225') AND person <> '' GROUP BY ALL),
 py AS (SELECT ibge_municipio, count(DISTINCT person) AS physicians_unique, count(DISTINCT (cnes, person)) AS physician_cnes_links,
@@ -387,7 +387,7 @@ py AS (SELECT ibge_municipio, count(DISTINCT person) AS physicians_unique, count
 tm AS (SELECT ibge_municipio, count(DISTINCT team) AS active_cnes_teams_all_types, count(DISTINCT team_type) AS active_cnes_team_types,
     count(DISTINCT cnes) AS ubs_with_cnes_team, count(DISTINCT CASE WHEN active THEN cnes END) AS active_ubs_with_cnes_team
     FROM (SELECT f.ibge_municipio, f.cnes, f.active, idequipe AS team, min(tipo_eqp) AS team_type FROM st_teams s
-      JOIN fa f ON f.cnes = lpad(s.cnes, 7, '0') WHERE dt_desat IN ('', '900001') AND idequipe <> '' GROUP BY ALL) x GROUP BY 1)"""
+      JOIN fa f ON f.cnes = lpad(s.cnes, CAST(greatest(7, length(s.cnes)) AS INT), '0') WHERE dt_desat IN ('', '900001') AND idequipe <> '' GROUP BY ALL) x GROUP BY 1)"""
 
 
 @case("ag_12_max_then_sum", f"WITH {LINK_CTES} SELECT ibge_municipio, sum(hours) / 40 AS fte FROM lk GROUP BY 1", "fte")

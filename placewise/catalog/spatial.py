@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from placewise.catalog.base import case, stage
 from placewise.functions import geo
-from placewise.functions.columns import great_circle_km
+from placewise.functions.columns import great_circle_km, zero_pad
 from placewise.operators.aggregates import share_of
 from placewise.operators.joins import check_declared_polygon
 from placewise.operators.nearest import RADIUS_KM, nearest_facility
@@ -373,7 +373,7 @@ def _(t):
 SHORT_SQL = """SELECT p.ibge_municipio_7, municipio_nome_ibge, uf_sigla, m, center_lat, center_lon, area_km2, nearest_ubs_geodesic_km AS ukm, nearest_pharmacy_geodesic_km AS pkm
   FROM st_places p JOIN st_spatial s USING (ibge_municipio) WHERE hard_ubs_easy_pharmacy_flag"""
 PAIR_SQL = f"""WITH sl AS ({SHORT_SQL}), pr AS (
-  SELECT ibge_municipio_7, municipio_nome_ibge, uf_sigla, m, 'active_ubs' AS destination_type, lpad(CAST(m AS STRING), 7, '0') AS destination_id, ukm AS km,
+  SELECT ibge_municipio_7, municipio_nome_ibge, uf_sigla, m, 'active_ubs' AS destination_type, lpad(CAST(m AS STRING), CAST(greatest(7, length(CAST(m AS STRING))) AS INT), '0') AS destination_id, ukm AS km,
     CASE WHEN area_km2 IS NULL OR area_km2 < 100 THEN 'missing_coordinate_for_routing' ELSE 'ready_for_network_routing' END AS st FROM sl
   UNION ALL SELECT ibge_municipio_7, municipio_nome_ibge, uf_sigla, m, 'osm_pharmacy', 'node/' || CAST(m AS STRING), pkm, 'ready_for_network_routing' FROM sl),
 rt AS (SELECT *, ibge_municipio_7 || '_' || destination_type || '_' || replace(destination_id, '/', '_') AS od_pair_id,
@@ -393,7 +393,7 @@ def shortlist(t):
 
 def pairs(t):
     where = {"destination_latitude": F.col("center_lat"), "destination_longitude": F.col("center_lon")}
-    ubs = t.st_places.filter("area_km2 >= 100").select(F.lpad(F.col("m").cast("string"), 7, "0").alias("destination_id"), *[v.alias(k) for k, v in where.items()])
+    ubs = t.st_places.filter("area_km2 >= 100").select(zero_pad(F.col("m").cast("string"), 7).alias("destination_id"), *[v.alias(k) for k, v in where.items()])
     pharmacies = t.st_places.select(F.concat(F.lit("node/"), F.col("m").cast("string")).alias("destination_id"), *[v.alias(k) for k, v in where.items()])
     return access.od_pairs(shortlist(t), ubs, pharmacies)
 

@@ -66,7 +66,8 @@ STANDINS: dict[str, str] = {
           -34.0 + CAST((c_custkey * 7919) % 40000 AS DOUBLE) / 1e3 AS geolocation_lat,
           -74.0 + CAST((c_custkey * 104729) % 46000 AS DOUBLE) / 1e3 AS geolocation_lng
         FROM customer""",
-    # ---- places and facilities
+    # ---- places and facilities. Place codes have six digits from 100000 on, so there are 900,000 at most; facility
+    # and pharmacy tables keep every row whatever the number of places. Facility ids are padded to seven digits, never cut.
     "st_places": """
         SELECT CAST(100000 + m AS STRING) AS ibge_municipio, CAST(100000 + m AS STRING) || '5' AS ibge_municipio_7,
           'Cidade ' || CAST(m AS STRING) AS municipio_nome_ibge, n_name AS uf_sigla, 'Estado ' || n_name AS uf_nome,
@@ -84,7 +85,7 @@ STANDINS: dict[str, str] = {
           uf_sigla AS uf_sigla_oficial, uf_nome AS uf_nome_oficial, regiao_nome AS regiao_nome_oficial
         FROM st_places""",
     "st_registry": """
-        SELECT lpad(CAST(o_orderkey AS STRING), 7, '0') AS cnes, uf_sigla AS uf, regiao_nome AS region,
+        SELECT lpad(CAST(o_orderkey AS STRING), CAST(greatest(7, length(CAST(o_orderkey AS STRING))) AS INT), '0') AS cnes, uf_sigla AS uf, regiao_nome AS region,
           ibge_municipio AS ibge, ibge_municipio_7, municipio_nome_ibge,
           'Unidade ' || CAST(o_orderkey AS STRING) AS nome,
           CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' OR o_orderstatus <> 'P'
@@ -93,15 +94,15 @@ STANDINS: dict[str, str] = {
             THEN center_lon + CAST((o_orderkey * 47) % 200 - 100 AS DOUBLE) / 1e3 END AS longitude
         FROM orders JOIN st_places ON o_custkey % 900000 = m""",
     "st_registry_latest": """
-        SELECT lpad(CAST(o_orderkey AS STRING), 7, '0') AS cnes, '202606' AS competen,
+        SELECT lpad(CAST(o_orderkey AS STRING), CAST(greatest(7, length(CAST(o_orderkey AS STRING))) AS INT), '0') AS cnes, '202606' AS competen,
           CAST(100000 + o_custkey % 900000 AS STRING) AS codufmun, substr(o_orderpriority, 1, 1) AS tp_unid
         FROM orders WHERE o_orderpriority <> '2-HIGH'""",
     "st_production": """
-        SELECT lpad(CAST(l_orderkey AS STRING), 7, '0') AS pa_coduni,
+        SELECT lpad(CAST(l_orderkey AS STRING), CAST(greatest(7, length(CAST(l_orderkey AS STRING))) AS INT), '0') AS pa_coduni,
           substr(CAST(l_shipdate AS STRING), 1, 4) || substr(CAST(l_shipdate AS STRING), 6, 2) AS pa_cmp,
           CAST(CAST(l_quantity AS INT) AS STRING) AS pa_qtdpro,
           replace(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING), '.', ',') AS pa_valpro
-        FROM lineitem WHERE l_linestatus = 'F'""",
+        FROM lineitem""",
     "st_professionals": """
         SELECT CAST(l_orderkey AS STRING) AS cnes,
           CASE WHEN l_linenumber <= 4 THEN '2251' ELSE '2235' END || CAST(10 + l_linenumber AS STRING) AS cbo,
@@ -122,7 +123,7 @@ STANDINS: dict[str, str] = {
           center_lat + CAST((p_partkey * 53) % 120 - 60 AS DOUBLE) / 1e3 AS latitude,
           center_lon + CAST((p_partkey * 71) % 120 - 60 AS DOUBLE) / 1e3 AS longitude
         FROM (SELECT part.*, (p_partkey * p_partkey) % n_places AS place
-                FROM part CROSS JOIN (SELECT count(*) AS n_places FROM customer) c) p
+                FROM part CROSS JOIN (SELECT count(DISTINCT c_custkey % 900000) AS n_places FROM customer) c) p
           JOIN st_places ON place = m""",
     "st_coverage": """
         SELECT ibge_municipio, uf_sigla, municipio_nome_ibge AS municipio_nome_aps, period AS competencia_cnes,

@@ -13,7 +13,9 @@ KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
 def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
-    writer = df.write.mode("overwrite").option("header", True)
+    """Headered text as other readers expect it: quotes inside quoted text doubled, white space kept."""
+    writer = df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if gzip:
         writer = writer.option("compression", "gzip")
     writer.csv(path)

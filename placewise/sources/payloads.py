@@ -1,4 +1,7 @@
-"""JSON payloads to tables. Every function takes a frame of payload texts, one document per row."""
+"""JSON payloads to tables. Every function takes a frame of payload texts, one document per row.
+
+A malformed document stops the job. One document is parsed in one task.
+"""
 
 from __future__ import annotations
 
@@ -12,18 +15,20 @@ from placewise.functions.columns import in_box, localized_number, plain_text
 from placewise.operators.joins import first_per_key
 from placewise.sources import schemas
 
+STRICT = {"mode": "FAILFAST"}
+
 
 def polygons(payloads: DataFrame, text: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
     """Code, multipolygon and bounding box per feature. A single polygon is wrapped; empty geometry is dropped."""
-    parsed = payloads.select(*keep, F.from_json(text, schemas.FEATURE_COLLECTION).alias("p"))
+    parsed = payloads.select(*keep, F.from_json(text, schemas.FEATURE_COLLECTION, STRICT).alias("p"))
     feature = parsed.select(*keep, F.explode("p.features").alias("f")).select(
         *keep,
         F.trim("f.properties.codarea").alias("ibge_municipio_7"),
         F.col("f.geometry.type").alias("kind"),
         F.col("f.geometry.coordinates").alias("raw"),
     )
-    many = F.from_json("raw", geo.MULTIPOLYGON)
-    one = F.array(F.from_json("raw", "array<array<array<double>>>"))
+    many = F.from_json("raw", geo.MULTIPOLYGON, STRICT)
+    one = F.array(F.from_json("raw", "array<array<array<double>>>", STRICT))
     shaped = feature.withColumn(
         "coordinates", F.when(F.col("kind") == "MultiPolygon", many).when(F.col("kind") == "Polygon", one)
     )
@@ -37,7 +42,7 @@ def polygons(payloads: DataFrame, text: str = "payload", keep: tuple[str, ...] =
 
 def place_hierarchy(payloads: DataFrame, text: str = "payload") -> DataFrame:
     """Place > micro > meso > state > region, with the second nesting where the first is null."""
-    p = payloads.select(F.from_json(text, schemas.PLACE_HIERARCHY).alias("p"))
+    p = payloads.select(F.from_json(text, schemas.PLACE_HIERARCHY, STRICT).alias("p"))
     near = F.col("p.`regiao-imediata`")
     state = F.coalesce(F.col("p.microrregiao.mesorregiao.UF"), near["regiao-intermediaria"]["UF"])
     code = F.col("p.id")
@@ -64,7 +69,7 @@ COUNT_VARIABLE, PERCENT_VARIABLE = "381", "1000381"
 
 def internet_statistics(payloads: DataFrame, text: str = "payload", year: str = "2022") -> DataFrame:
     """One row per place with household counts and percents per internet category."""
-    variable = payloads.select(F.explode(F.from_json(text, schemas.STATISTICS)).alias("v"))
+    variable = payloads.select(F.explode(F.from_json(text, schemas.STATISTICS, STRICT)).alias("v"))
     result = variable.select(F.col("v.id").alias("variable"), F.explode("v.resultados").alias("r"))
     wanted = F.filter("r.classificacoes", lambda c: c["id"] == INTERNET_CLASSIFICATION)
     category = F.element_at(F.map_keys(F.get(wanted, 0)["categoria"]), 1)
@@ -96,7 +101,7 @@ def internet_statistics(payloads: DataFrame, text: str = "payload", year: str =
 
 def map_features(payloads: DataFrame, text: str = "payload") -> DataFrame:
     """Point or way-centre features with tags as columns, one row per ``type/id``."""
-    p = payloads.select(F.from_json(text, schemas.MAP_FEATURES).alias("p"))
+    p = payloads.select(F.from_json(text, schemas.MAP_FEATURES, STRICT).alias("p"))
     e = p.select(F.col("p.osm3s.timestamp_osm_base").alias("base_timestamp"), F.explode("p.elements").alias("e"))
     rows = e.select(
         F.concat_ws("/", "e.type", F.col("e.id").cast("string")).alias("osm_feature_id"),
@@ -166,9 +171,10 @@ def label_value_table(df: DataFrame, code: str, name: str, label: str, value: st
 
 
 def newest_period(df: DataFrame, period: str, order: Column | None = None) -> DataFrame:
-    """Rows of the newest period. The newest value is one row, joined back as a filter."""
+    """Rows of the newest period. The newest value is one row, joined back as a filter; no rows are an error."""
     rank = F.col(period) if order is None else order
-    top = df.agg(F.max(F.struct(rank.alias("o"), F.col(period).alias("p")))["p"].alias("_newest"))
+    newest = F.max(F.struct(rank.alias("o"), F.col(period).alias("p")))["p"]
+    top = df.agg(F.coalesce(newest, F.raise_error(F.lit(f"no rows with a period in {period}"))).alias("_newest"))
     return df.join(F.broadcast(top), F.col(period) == F.col("_newest")).drop("_newest")
 
 

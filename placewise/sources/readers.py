@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from placewise.functions.columns import ACCENTED, PLAIN
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
     """Headered delimited text under an explicit schema. Gzip is read as is.
 
     Blank cells are null. A byte-order mark before the header is harmless, because
     names come from the schema. Text with a decimal comma is read as string and parsed
     with ``decimal_number``; identifiers are declared string so leading zeros survive.
+    Quotes inside quoted text are doubled. ``multi_line`` is for free text with line breaks;
+    such files don't split. A record that doesn't fit the schema stops the read.
     """
     return (
         spark.read.schema(schema)
@@ -23,6 +25,12 @@ def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", encodi
         .option("enforceSchema", True)
         .option("sep", sep)
         .option("encoding", encoding)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .option("mode", "FAILFAST")
         .csv(path)
     )
 
