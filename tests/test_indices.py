@@ -7,11 +7,11 @@ from placewise.plans import indices as ix
 
 BASE = "ibge_municipio string, municipio_nome_ibge string, uf_sigla string, populacao_residente long, aps_coverage_capped_pct double, active_ubs_per_100k double, pharmacies long, pharmacies_per_100k double"
 ROWS = [
-    ("100001", "Grande", "AA", 1_000_000, 50.0, 1.0, 100, 10.0),
-    ("100002", "Pequena", "AA", 50_000, 50.0, 2.0, 5, 10.0),
-    ("100003", "Sem farmacia", "BB", 200_000, 40.0, 1.0, 0, 0.0),
-    ("100004", "Sem APS", "CC", 100_000, None, 1.0, 10, 10.0),
-    ("100005", "Coberta", "AA", 1_000_000, 100.0, 1.0, 100, 10.0),
+    ("310010", "Alfa", "MG", 400_000, 75.0, 6.0, 40, 10.0),
+    ("310020", "Beta", "MG", 80_000, 75.0, 9.0, 4, 5.0),
+    ("310030", "Gama", "ES", 120_000, 20.0, 2.5, 0, 0.0),
+    ("310040", "Delta", "ES", 60_000, None, 4.0, 6, 10.0),
+    ("310050", "Zeta", "SP", 900_000, 100.0, 12.0, 90, 10.0),
 ]
 
 
@@ -25,16 +25,15 @@ def by_key(df, key="ibge_municipio"):
 
 
 def test_opportunity(opportunity):
-    r = by_key(opportunity)
-    assert r["100001"].potentially_uncovered_population == 500_000
-    assert r["100001"].uncovered_volume_percentile > r["100002"].uncovered_volume_percentile
-    assert r["100001"].need_score > r["100002"].need_score
-    assert r["100003"].pharmacy_launchability_score == 0
-    assert r["100003"].academic_eligibility == "no_observed_pfpb_pharmacy"
-    assert r["100003"].positioning_segment == "infrastructure_gap"
-    assert r["100004"].academic_eligibility == "insufficient_core_data"
-    assert r["100004"].telemedicine_opportunity_balanced is None
-    assert (r["100005"].uncovered_volume_percentile, r["100005"].aps_gap_percentile, r["100005"].need_score) == (0, 0, 0)
+    """By hand: a quarter of 400,000 is uncovered; 100,000 > 96,000 > 20,000 > 0; gaps are 25, 25, 80 and 0."""
+    r = {x.municipio_nome_ibge: x for x in opportunity.collect()}
+    assert [r[k].potentially_uncovered_population for k in ("Alfa", "Beta", "Gama", "Zeta")] == pytest.approx([100_000, 20_000, 96_000, 0])
+    volumes = [r[k].uncovered_volume_percentile for k in ("Alfa", "Gama", "Beta", "Zeta")]
+    assert volumes == sorted(volumes, reverse=True) and volumes[-1] == 0
+    assert r["Alfa"].aps_gap_percentile == r["Beta"].aps_gap_percentile < r["Gama"].aps_gap_percentile
+    assert (r["Zeta"].need_score, r["Gama"].pharmacy_launchability_score) == (0, 0)
+    assert (r["Gama"].academic_eligibility, r["Gama"].positioning_segment) == ("no_observed_pfpb_pharmacy", "infrastructure_gap")
+    assert (r["Delta"].academic_eligibility, r["Delta"].telemedicine_opportunity_balanced) == ("insufficient_core_data", None)
 
 
 def test_scenario_rows(opportunity):
@@ -50,29 +49,30 @@ def test_draws_repeat_for_one_seed(opportunity):
 P1 = BASE + ", potentially_uncovered_population double, physician_fte_per_100k double, households_with_internet_pct double, mobile_4g5g_resident_coverage_pct double, fixed_broadband_accesses_per_100_people double, sia_quantity_all_procedures double"
 
 
-def phase1(spark, physicians=5.0, production=10.0):
-    same = (1_000_000, 50.0, 1.0, 100, 10.0, 500_000.0)
+def phase1(spark, physicians=12.0, production=40.0):
+    same = (350_000, 60.0, 8.0, 21, 6.0, 140_000.0)
     rows = [
-        ("100001", "A", "AA", *same, physicians, 90.0, 95.0, 30.0, production),
-        ("100002", "B", "AA", *same, 30.0, 40.0, 50.0, 5.0, 1e6),
+        ("310010", "Alfa", "MG", *same, physicians, 82.0, 91.0, 24.0, production),
+        ("310020", "Beta", "MG", *same, 45.0, 61.0, 70.0, 9.0, 2_500.0),
     ]
     return by_key(ix.phase1_index(spark.createDataFrame(rows, P1)))
 
 
 def test_phase1(spark):
-    r = phase1(spark)
-    assert r["100001"].phase1_need_score > r["100002"].phase1_need_score
-    assert r["100001"].digital_readiness_score > r["100002"].digital_readiness_score
-    assert r["100001"].phase1_deployment_feasibility_score > r["100002"].phase1_deployment_feasibility_score
+    """Alike in all but physicians and connection: fewer physicians is more need, better lines more readiness."""
+    a, b = (phase1(spark)[k] for k in ("310010", "310020"))
+    assert a.phase1_need_score > b.phase1_need_score
+    assert a.digital_readiness_score > b.digital_readiness_score
+    assert a.phase1_deployment_feasibility_score > b.phase1_deployment_feasibility_score
 
 
 def test_production_is_never_scored(spark):
-    a, b = phase1(spark, production=10.0), phase1(spark, production=9e9)
-    assert a["100001"].telemedicine_phase1_balanced == b["100001"].telemedicine_phase1_balanced
+    scores = {phase1(spark, production=n)["310010"].telemedicine_phase1_balanced for n in (0.0, 40.0, 7e8)}
+    assert len(scores) == 1
 
 
 def test_phase1_missing_input_is_not_scored(spark):
-    r = phase1(spark, physicians=None)["100001"]
+    r = phase1(spark, physicians=None)["310010"]
     assert r.phase1_eligibility == "insufficient_phase1_data" and r.telemedicine_phase1_balanced is None
 
 

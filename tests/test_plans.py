@@ -19,23 +19,24 @@ def one(df):
 
 
 def test_access_gap(spark):
+    """Rates by hand: 3 of 60,000 is 5 per 100,000; coverage above 100 is cut; a pharmacy listed in two rows counts once."""
     places = spark.createDataFrame(
-        [("100001", 100000, 1), ("100002", 100000, 10), ("100003", 50000, 5)],
+        [("310010", 60_000, 3), ("310020", 25_000, 5), ("310030", 80_000, 0), ("310040", None, 2)],
         "ibge_municipio string, populacao_residente long, ubs_records long",
     )
-    popular, private = "farmacia_popular", "farmacia_privada"
-    rows = [("1", "100001", popular, "1"), ("2", "100001", popular, "2"), ("3", "100001", private, "3"), ("4", "100002", popular, "4"), ("1", "100001", popular, "1")]
+    rows = [("f1", "310010", "farmacia_privada", "77"), ("f9", "310010", "farmacia_privada", "77"), ("f2", "310010", "farmacia_popular", "78"), ("f3", "310030", "farmacia_popular", "80"), ("f4", "310030", "farmacia_popular", "81")]
     pharmacies = spark.createDataFrame(rows, "facility_id string, ibge_municipality string, facility_type string, cnpj string")
-    cover = spark.createDataFrame([("100001", 50.0, 100000), ("100002", 95.0, 100000), ("100003", 90.0, 50000)], "ibge_municipio string, cobertura_aps_pct double, aps_populacao long")
-    active = [("100001", "1", True)] + [("100002", str(i), True) for i in range(10)] + [("100003", str(i), True) for i in range(5)]
-    operational = spark.createDataFrame(active, "ibge_municipio string, cnes string, cnes_present_latest_st boolean")
+    cover = spark.createDataFrame([("310010", 112.5, 60_000), ("310030", 20.0, 80_000)], "ibge_municipio string, cobertura_aps_pct double, aps_populacao long")
+    seen = [("310010", "u1", True), ("310010", "u2", None), ("310010", "u3", False), ("310020", "u4", True)]
+    operational = spark.createDataFrame(seen, "ibge_municipio string, cnes string, cnes_present_latest_st boolean")
     r = {x.ibge_municipio: x for x in terr.access_gap(places, pharmacies, cover, operational).collect()}
-    sparse, balanced, empty = r["100001"], r["100002"], r["100003"]
-    assert (sparse.ubs_per_100k, sparse.pharmacies_per_100k, sparse.pharmacies, sparse.popular_pharmacies, sparse.other_pharmacies) == (1, 3, 3, 2, 1)
-    assert empty.pharmacies == 0
-    assert sparse.access_mismatch_flag == "consistent_mismatch" and sparse.evidence_level == "complete"
-    assert balanced.access_mismatch_flag != "consistent_mismatch"
-    assert sparse.access_mismatch_score > balanced.access_mismatch_score
+    a, b, c, d = (r[k] for k in ("310010", "310020", "310030", "310040"))
+    assert [x.ubs_per_100k for x in (a, b, c, d)] == pytest.approx([5, 20, 0, None])
+    assert [(x.pharmacies, x.popular_pharmacies, x.other_pharmacies) for x in (a, b, c)] == [(2, 1, 1), (0, 0, 0), (2, 2, 0)]
+    assert (c.pharmacies_per_100k, a.pharmacies_per_ubs, c.pharmacies_per_ubs) == (2.5, pytest.approx(2 / 3), None)
+    assert [(x.active_ubs, x.operational_ubs_observed) for x in (a, b, c)] == [(1, 3), (1, 1), (0, 0)]
+    assert (a.aps_coverage_capped_pct, b.aps_coverage_capped_pct, c.aps_coverage_capped_pct) == (100, None, 20)
+    assert c.access_mismatch_score > a.access_mismatch_score
 
 
 def test_unique_guard(spark):
@@ -54,31 +55,49 @@ def test_conform(spark):
 
 
 def test_physicians(spark):
-    rows = [("0000001", "225125", "A", "", "20"), ("0000001", "225125", "A", "", "30"), ("0000002", "225130", "A", "", "10"), ("0000001", "223505", "B", "", "40")]
+    """The longer of two contracts at one facility counts; a second document number stands in for a missing first;
+    other occupations and rows without a person don't count."""
+    rows = [
+        ("0000070", "225142", "P1", "", "12"),
+        ("0000070", "225142", "P1", "", "16"),
+        ("0000070", "225103", "", "Q9", "8"),
+        ("0000110", "225250", "P1", "", "24"),
+        ("0000110", "322205", "N1", "", "44"),
+        ("0000120", "225125", "", "", "30"),
+    ]
     people = spark.createDataFrame(rows, "cnes string, cbo string, cns_prof string, cpf_prof string, hora_amb string")
-    fac = spark.createDataFrame([("0000001", "100001", True), ("0000002", "100001", True)], "cnes string, ibge_municipio string, active boolean")
+    facilities = [("0000070", "310010", True), ("0000110", "310010", False), ("0000120", "310020", True)]
+    fac = spark.createDataFrame(facilities, "cnes string, ibge_municipio string, active boolean")
     r = one(supply.physicians_by_place(supply.physician_links(people, fac)))
-    assert (r.physicians_unique, r.physician_cnes_links, r.physician_ambulatory_hours_weekly, r.physician_fte_40h, r.active_ubs_with_physician) == (1, 2, 40, 1, 2)
-    teams = spark.createDataFrame([("0000001", "T1", "70", "900001"), ("0000001", "T2", "70", "202401"), ("0000002", "T3", "01", "")], "cnes string, idequipe string, tipo_eqp string, dt_desat string")
+    assert (r.ibge_municipio, r.physicians_unique, r.physician_cnes_links) == ("310010", 2, 3)
+    assert (r.physician_ambulatory_hours_weekly, r.physician_fte_40h) == (48, pytest.approx(1.2))
+    assert (r.ubs_with_physician, r.active_ubs_with_physician) == (2, 1)
+    rows = [("0000070", "E1", "70", ""), ("0000070", "E2", "71", "202312"), ("0000110", "E3", "72", "900001"), ("0000110", "", "70", "")]
+    teams = spark.createDataFrame(rows, "cnes string, idequipe string, tipo_eqp string, dt_desat string")
     r = one(supply.teams_by_place(teams, fac))
-    assert (r.active_cnes_teams_all_types, r.active_ubs_with_cnes_team, r.active_cnes_team_types) == (2, 2, 2)
+    assert (r.active_cnes_teams_all_types, r.active_cnes_team_types, r.ubs_with_cnes_team, r.active_ubs_with_cnes_team) == (2, 2, 2, 1)
 
 
 def test_mobile_and_fixed(spark):
-    rows = [(5208707, "4G5G", "Todas", "03-2026", 0.95), (5208707, "5G", "Todas", "03-2026", 0.70), (5208707, "4G5G", "CLARO", "03-2026", 0.85)]
+    """Rows of all operators together count; of fixed lines the newest month of places."""
+    rows = [
+        (3106200, "4G5G", "Todas", "02-2025", 0.625),
+        (3106200, "5G", "Todas", "02-2025", 0.3125),
+        (3106200, "4G5G", "VIVO", "02-2025", 0.75),
+    ]
     mobile = spark.createDataFrame(rows, "`Código Município` long, Tecnologia string, Operadora string, `Período` string, `% moradores cobertos` double")
     r = one(supply.mobile_coverage(mobile))
-    assert r.mobile_4g5g_resident_coverage_pct == pytest.approx(95) and r.mobile_5g_resident_coverage_pct == pytest.approx(70)
-    assert r.mobile_reference_period == "2026-03"
-    fixed = spark.createDataFrame([(2026, 4, 5208707, 27.0, "Municipio"), (2026, 5, 5208707, 28.4, "Municipio"), (2026, 5, 0, 26.0, "Brasil")], "Ano int, Mes int, `Codigo IBGE` long, Densidade double, Nivel string")
+    assert (r.mobile_4g5g_resident_coverage_pct, r.mobile_5g_resident_coverage_pct, r.mobile_reference_period) == (62.5, 31.25, "2025-02")
+    rows = [(2024, 12, 3106200, 99.0, "Municipio"), (2025, 1, 3106200, 12.5, "Municipio"), (2025, 2, 3106200, 13.75, "Municipio"), (2025, 2, 0, 40.0, "UF")]
+    fixed = spark.createDataFrame(rows, "Ano int, Mes int, `Codigo IBGE` long, Densidade double, Nivel string")
     r = one(supply.fixed_broadband(fixed))
-    assert r.fixed_broadband_accesses_per_100_people == 28.4 and r.fixed_broadband_reference_period == "2026-05"
+    assert (r.fixed_broadband_accesses_per_100_people, r.fixed_broadband_reference_period) == (13.75, "2025-02")
 
 
 def test_pharmacy_columns(spark):
-    raw = spark.createDataFrame([("12.345.678/0001-90", "Farmácia Exemplo", "São Paulo", "SP", "3550308", "-23,5505", "-46,6333")], "CNPJ string, `Razão Social` string, `Município` string, UF string, `Código IBGE` string, Latitude string, Longitude string")
+    raw = spark.createDataFrame([("98.765.432/0001-10", "Drogaria Teste", "Recife", "PE", "2611606", "-8,05", "-34,9")], "CNPJ string, `Razão Social` string, `Município` string, UF string, `Código IBGE` string, Latitude string, Longitude string")
     r = one(supply.normalize_pharmacies(raw))
-    assert (r.cnpj, r.facility_type, r.latitude, r.valid_coordinates) == ("12345678000190", "farmacia_popular", -23.5505, True)
+    assert (r.cnpj, r.latitude, r.longitude, r.valid_coordinates) == ("98765432000110", -8.05, -34.9, True)
 
 
 def test_coverage_names(spark):
@@ -117,19 +136,20 @@ def test_municipal_access(spark):
 
 
 def test_routing(spark):
+    """47.5 minutes to the one and 3.5 to the other is a target at every pair of thresholds but those of 3 minutes."""
     schema = "ibge_municipio_7 string, municipio_nome_oficial string, uf_sigla_oficial string, phase2_spatial_target_rank double, origin_method string, destination_type string, phase2_geodesic_km double, network_distance_km double, travel_time_minutes double"
-    rows = [
-        ("1", "Cidade A", "AA", 1.0, "s", "active_ubs", 6.0, 20.0, 22.0),
-        ("1", "Cidade A", "AA", 1.0, "s", "osm_pharmacy", 0.2, 0.5, 2.0),
-        ("2", "Cidade B", "BB", 2.0, "s", "active_ubs", 8.0, 28.0, 25.0),
-        ("2", "Cidade B", "BB", 2.0, "s", "osm_pharmacy", 1.0, 12.0, 18.0),
-    ]
+    places = [("3100104", "Vila", 47.5, 3.5), ("3100203", "Serra", 16.0, 10.0), ("3100302", "Praia", 9.0, 1.5)]
+    rows = []
+    for rank, (key, name, far, near) in enumerate(places, 1):
+        rows.append((key, name, "MG", float(rank), "seat", "active_ubs", far / 4, far / 2, far))
+        rows.append((key, name, "MG", float(rank), "seat", "osm_pharmacy", near / 4, near / 2, near))
     summary = access.routing_summary(spark.createDataFrame(rows, schema))
-    r = {x.ibge_municipio_7: x for x in summary.collect()}
-    assert r["1"].phase3_access_interpretation == "routed_hard_ubs_easy_pharmacy_candidate"
-    assert r["2"].phase3_access_interpretation == "routed_hard_ubs_but_not_easy_pharmacy"
+    r = {x.municipio_nome_oficial: x.phase3_access_interpretation for x in summary.collect()}
+    assert r == {"Vila": "routed_hard_ubs_easy_pharmacy_candidate", "Serra": "routed_hard_ubs_but_not_easy_pharmacy", "Praia": "routed_not_conservative_target"}
     grid = {(x.ubs_hard_minutes_threshold, x.pharmacy_easy_minutes_threshold): x for x in access.threshold_sensitivity(summary).collect()}
-    assert len(grid) == 9 and grid[(15, 3)].candidate_municipalities == "Cidade A/AA"
+    found = {k: (x.candidate_count, x.candidate_municipalities) for k, x in grid.items()}
+    assert found[(20, 10)] == found[(10, 5)] == (1, "Vila/MG") and found[(15, 10)] == (2, "Vila/MG; Serra/MG")
+    assert found[(15, 3)] == (0, "") and len(found) == 9
 
 
 def test_route_response(spark):
@@ -143,21 +163,29 @@ MATRIX = "ibge_municipio string, municipio_nome_ibge string, uf_sigla string, re
 
 
 def test_decisions_and_states(spark):
+    """The median readiness of the eligible rows is 50, so 50 is high and 20 is low; later rules win."""
     ok, no, yes = "eligible_phase2_geodesic_proxy", "not_routed_in_phase4", "phase4_primary_routed_target"
     rows = [
-        ("1", "Capital Alta", "AA", "T", 1_000_000, ok, 90.0, 1.0, 95.0, 65.0, 80.0, 90.0, None, no),
-        ("2", "Piloto", "AA", "T", 20_000, ok, 70.0, 60.0, 80.0, 95.0, 55.0, 40.0, 1.0, yes),
-        ("3", "Inclusao", "CC", "T", 50_000, ok, 75.0, 50.0, 92.0, 40.0, 35.0, 10.0, None, no),
+        ("310010", "Norte", "MG", "R", 90_000, ok, 60.0, 7.0, 55.0, 20.0, 30.0, 50.0, None, no),
+        ("310020", "Sul", "MG", "R", 70_000, ok, 58.0, 88.0, 60.0, 20.0, 30.0, 20.0, None, no),
+        ("310030", "Leste", "ES", "R", 30_000, ok, 40.0, 400.0, 30.0, 90.0, 30.0, 80.0, 2.0, yes),
+        ("310040", "Oeste", "ES", "R", 10_000, ok, 30.0, 450.0, 40.0, 35.0, 30.0, 60.0, 5.0, no),
+        ("310050", "Centro", "ES", "R", 10_000, ok, 20.0, 900.0, 76.0, 10.0, 30.0, 20.0, None, no),
+        ("310060", "Ilha", "ES", "R", 500, "invalid_origin_proxy", None, None, None, None, None, 10.0, None, no),
     ]
     matrix = decisions.decision_matrix(spark.createDataFrame(rows, MATRIX)).cache()
     r = {x.municipio_nome_ibge: x for x in matrix.collect()}
-    assert r["Capital Alta"].decision_class == "national_priority_high_readiness"
-    assert r["Piloto"].decision_class == "pharmacy_assisted_pilot"
-    assert r["Inclusao"].decision_class == "national_priority_inclusion_first"
-    assert "rank nacional 1;" in r["Capital Alta"].explanation
+    assert {k: x.decision_class for k, x in r.items()} == {
+        "Norte": "national_priority_high_readiness",
+        "Sul": "national_priority_inclusion_first",
+        "Leste": "pharmacy_assisted_pilot",
+        "Oeste": "pharmacy_assisted_geodesic_candidate",
+        "Centro": "high_need_digital_inclusion_first",
+        "Ilha": "insufficient_evidence",
+    }
+    assert "Norte/MG" in r["Norte"].explanation and "rank nacional 7;" in r["Norte"].explanation
     states = {x.uf_sigla: x for x in decisions.state_summary(matrix).collect()}
-    assert (states["AA"].top100_municipalities, states["AA"].pharmacy_assisted_pilot_count) == (2, 1)
-    assert states["AA"].state_strategy_tier == "hybrid_national_and_pharmacy_pilot"
+    assert [(states[k].top100_municipalities, states[k].pharmacy_assisted_pilot_count) for k in ("MG", "ES")] == [(2, 0), (0, 1)]
 
 
 def test_point_features_keep_nulls(spark):
