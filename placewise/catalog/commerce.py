@@ -274,7 +274,7 @@ def _(t):
     "revenue:2 freight:2 payment_value:2 review_score",
 )
 def _(t):
-    plan.create_order_mart_view(t.spark, shop(t))
+    plan.create_order_mart_view(shop(t))
     return t.spark.sql(
         """SELECT order_id, customer_id, customer_unique_id, customer_state, order_status, items_count,
            unique_products, sellers_count, revenue, freight, payment_value, payment_installments, review_score,

@@ -56,14 +56,24 @@ mem AS (SELECT DISTINCT tmdb_id, p FROM (SELECT tmdb_id, unnest(l) AS p FROM ids
 edge AS (SELECT a.p AS a, b.p AS b, count(*) AS weight FROM mem a JOIN mem b ON a.tmdb_id = b.tmdb_id AND a.p < b.p GROUP BY 1, 2)"""
 
 
+# The graph of the 2,500 top movies and the first eight of each cast.
+TOP_GRAPH = {"n": 2500, "depth": 8}
+
+
 @case("gr_03_costar_graph", f"WITH {GRAPH_CTES} SELECT * FROM edge")
 def _(t):
-    return plan.costar_graph(t.st_movies, t.st_people)[1]
+    return plan.costar_graph(t.st_movies, t.st_people, **TOP_GRAPH)[1]
 
 
-@case("jn_13_pairs_within_group", f"WITH {GRAPH_CTES} SELECT a, b FROM edge WHERE weight > 1")
+@case(
+    "jn_13_pairs_within_group",
+    """WITH mem AS (SELECT DISTINCT movie, person AS p FROM st_cast WHERE person IN (SELECT tmdb_id FROM st_people))
+    SELECT a.p AS a, b.p AS b, count(*) AS weight FROM mem a JOIN mem b ON a.movie = b.movie AND a.p < b.p
+    WHERE a.movie IN (SELECT tmdb_id FROM st_movies) GROUP BY 1, 2""",
+)
 def _(t):
-    return plan.costar_graph(t.st_movies, t.st_people)[1].filter("weight > 1").select("a", "b")
+    """Every pair of every whole cast."""
+    return plan.costar_graph(t.st_movies, t.st_people)[1]
 
 
 @case(
@@ -74,7 +84,7 @@ def _(t):
       SELECT tmdb_id, weighted_degree, name FROM (SELECT * FROM deg ORDER BY weighted_degree DESC, tmdb_id LIMIT 20) d LEFT JOIN st_people USING (tmdb_id)""",
 )
 def _(t):
-    nodes, links = plan.costar_graph(t.st_movies, t.st_people)
+    nodes, links = plan.costar_graph(t.st_movies, t.st_people, **TOP_GRAPH)
     return plan.top_people(nodes, links, t.st_people)
 
 
@@ -124,25 +134,25 @@ def _(t):
 # Frequent words of the test corpus, used as its stop-word list.
 STOP_WORDS = ["the", "of", "and", "in", "with", "er", "de", "la", "le"]
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
-TFIDF_CTES = f"""rated AS (SELECT * FROM st_rated_text WHERE rating IS NOT NULL),
+TFIDF_CTES = """rated AS (SELECT * FROM st_rated_text WHERE rating IS NOT NULL),
 tok AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(content, '')), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]{{2,}}'),
-    lambda w: NOT list_contains({STOP_SQL}, w)) AS w FROM rated),
+    lambda w: NOT list_contains({stop}, w)) AS w FROM rated),
 grams AS (SELECT doc_id, unnest(w) AS term FROM tok UNION ALL
     SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM tok WHERE len(w) > 1),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
-voc AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 HAVING count(*) >= 8 ORDER BY total DESC, term LIMIT 8000),
+voc AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 HAVING count(*) >= 8 ORDER BY total DESC, term {limit}),
 raw AS (SELECT doc_id, term, tf * (ln(((SELECT count(*) FROM rated) + 1e0) / (df + 1)) + 1) AS r FROM tf JOIN voc USING (term)),
 wt AS (SELECT doc_id, term, r / sqrt(sum(r * r) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
 
 
-@case("tx_01_tfidf", f"WITH {TFIDF_CTES} SELECT * FROM wt", "weight")
+@case("tx_01_tfidf", f"WITH {TFIDF_CTES.format(limit='', stop=STOP_SQL)} SELECT * FROM wt", "weight")
 def _(t):
     return text.tfidf(t.st_rated_text.filter("rating IS NOT NULL"), "doc_id", "content", STOP_WORDS)
 
 
 @case(
     "tx_02_contrast_terms",
-    f"""WITH {TFIDF_CTES}, s AS (SELECT term, coalesce(sum(weight) FILTER (rating <= 4), 0) / (SELECT count(*) FROM rated WHERE rating <= 4) AS low_score,
+    f"""WITH {TFIDF_CTES.format(limit='LIMIT 8000', stop=STOP_SQL)}, s AS (SELECT term, coalesce(sum(weight) FILTER (rating <= 4), 0) / (SELECT count(*) FROM rated WHERE rating <= 4) AS low_score,
         coalesce(sum(weight) FILTER (rating >= 8), 0) / (SELECT count(*) FROM rated WHERE rating >= 8) AS high_score
         FROM wt JOIN rated USING (doc_id) GROUP BY 1)
       SELECT * FROM (SELECT *, low_score - high_score AS tfidf_gap, 'low' AS side FROM s ORDER BY tfidf_gap DESC, term LIMIT 30) a
@@ -150,7 +160,7 @@ def _(t):
     "low_score high_score tfidf_gap",
 )
 def _(t):
-    return text.top_contrast(text.contrast_terms(t.st_rated_text, "doc_id", "content", "rating", STOP_WORDS))
+    return text.top_contrast(text.contrast_terms(t.st_rated_text, "doc_id", "content", "rating", STOP_WORDS, max_terms=8000))
 
 
 # ---- classifiers --------------------------------------------------------------------------------

@@ -214,19 +214,31 @@ def opportunity_draws(index: DataFrame, draws: int = dr.DEFAULT_DRAWS, seed: int
 
 # ---- phase 1 -----------------------------------------------------------------------------
 
+# Columns taken from each source.
 PHASE1_SOURCES = {
-    "workforce": (
-        "physicians_unique physician_fte_40h physician_fte_per_100k active_ubs_with_physician_pct "
-        "active_cnes_teams_all_types workforce_quality_flag"
-    ).split(),
-    "internet": "households_with_internet_pct internet_data_status internet_quality_flag".split(),
-    "connectivity": (
-        "mobile_4g5g_resident_coverage_pct mobile_5g_resident_coverage_pct mobile_reference_period "
-        "fixed_broadband_accesses_per_100_people fixed_broadband_reference_period anatel_data_status"
-    ).split(),
-    "production": (
-        "sia_quantity_all_procedures sia_reporting_coverage_pct production_interpretation consultation_specific_status"
-    ).split(),
+    "workforce": [
+        "physicians_unique",
+        "physician_fte_40h",
+        "physician_fte_per_100k",
+        "active_ubs_with_physician_pct",
+        "active_cnes_teams_all_types",
+        "workforce_quality_flag",
+    ],
+    "internet": ["households_with_internet_pct", "internet_data_status", "internet_quality_flag"],
+    "connectivity": [
+        "mobile_4g5g_resident_coverage_pct",
+        "mobile_5g_resident_coverage_pct",
+        "mobile_reference_period",
+        "fixed_broadband_accesses_per_100_people",
+        "fixed_broadband_reference_period",
+        "anatel_data_status",
+    ],
+    "production": [
+        "sia_quantity_all_procedures",
+        "sia_reporting_coverage_pct",
+        "production_interpretation",
+        "consultation_specific_status",
+    ],
 }
 
 
@@ -599,6 +611,7 @@ def precision_index(phase2: DataFrame, access: DataFrame) -> DataFrame:
     ).drop("_valid", "_phase2")
 
 
+# Columns of the access table with their types.
 PRECISION_ACCESS_COLUMNS = {
     "phase5_population_origins": "bigint",
     "phase5_origin_granularity": "string",

@@ -59,13 +59,12 @@ def top_movies(movies: DataFrame, n: int) -> DataFrame:
     return movies.orderBy(F.col("vote_count").desc_nulls_last(), F.col("popularity").desc_nulls_last(), "tmdb_id").limit(n)
 
 
-def _known_cast(movies: DataFrame, people: DataFrame, n: int, depth: int) -> DataFrame:
-    """Known members among the first ``depth`` cast ids of the n top movies, in cast order without repeats.
-
-    At most n movies with ``depth`` members each: both limits define the graph.
-    """
-    top = top_movies(movies, n).filter(F.col("cast_ids").isNotNull())
-    members = top.select("tmdb_id", F.posexplode(F.slice(id_list("cast_ids"), 1, depth)).alias("pos", "person"))
+def _known_cast(movies: DataFrame, people: DataFrame, n: int | None, depth: int | None) -> DataFrame:
+    """Known members of each movie's cast, in cast order without repeats; of the n top movies and the first
+    ``depth`` cast ids only, where given."""
+    top = (movies if n is None else top_movies(movies, n)).filter(F.col("cast_ids").isNotNull())
+    cast = id_list("cast_ids") if depth is None else F.slice(id_list("cast_ids"), 1, depth)
+    members = top.select("tmdb_id", F.posexplode(cast).alias("pos", "person"))
     known = people.select(F.col("tmdb_id").alias("person")).distinct()
     return (
         members.join(known, "person", "left_semi")
@@ -75,21 +74,18 @@ def _known_cast(movies: DataFrame, people: DataFrame, n: int, depth: int) -> Dat
     )
 
 
-def costar_graph(movies: DataFrame, people: DataFrame, n: int = 2500, depth: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Nodes and weighted undirected edges of people who share a movie; lone members are nodes without edges."""
+def costar_graph(movies: DataFrame, people: DataFrame, n: int | None = None, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and weighted undirected edges of people who share a movie; lone members are nodes without edges.
+
+    All movies and whole casts, or the n top movies and the first ``depth`` members. A cast is spread to a row
+    per member before its pairs are made, so no row holds more than one cast.
+    """
     casts = _known_cast(movies, people, n, depth)
     nodes = casts.select(F.explode("members").alias("tmdb_id")).distinct()
-    # at most depth * (depth - 1) / 2 pairs per movie, made inside the row
-    pairs = F.flatten(
-        F.transform(
-            "members",
-            lambda a, i: F.transform(
-                F.slice(F.col("members"), i + 2, F.size("members")),
-                lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")),
-            ),
-        )
-    )
-    links = casts.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("weight"))
+    each = casts.select(F.posexplode("members").alias("i", "x"), "members")
+    pairs = each.select("x", F.explode(F.slice("members", F.col("i") + 2, F.size("members"))).alias("y"))
+    ends = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    links = ends.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
     return nodes, links
 
 

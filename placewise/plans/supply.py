@@ -284,10 +284,24 @@ def internet_readiness(universe: DataFrame, observed: DataFrame) -> DataFrame:
     )
 
 
-PHARMACY_COLUMNS = (
-    "facility_id facility_type cnes cnpj name ibge_municipality municipality uf address neighborhood "
-    "accreditation_date latitude longitude valid_coordinates source"
-).split()
+# Columns of the pharmacy layer, in order.
+PHARMACY_COLUMNS = [
+    "facility_id",
+    "facility_type",
+    "cnes",
+    "cnpj",
+    "name",
+    "ibge_municipality",
+    "municipality",
+    "uf",
+    "address",
+    "neighborhood",
+    "accreditation_date",
+    "latitude",
+    "longitude",
+    "valid_coordinates",
+    "source",
+]
 
 
 def normalize_pharmacies(raw: DataFrame, source: str = "official input") -> DataFrame:

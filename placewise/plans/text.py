@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placewise.runtime import cut
+
 TOKEN = r"(?U)\b\w\w+\b"
-MAX_TERMS = 8000
 MIN_DOCUMENTS = 8
 
 
+def english_stop_words() -> list[str]:
+    """Spark's own English list (181 words); other libraries' lists are longer."""
+    return StopWordsRemover.loadDefaultStopWords("english")
+
+
 def term_counts(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = ()) -> DataFrame:
     """(doc, term, tf) of one- and two-word terms: lower case, tokens of two or more word characters,
     stop words removed before pairs are formed. Whole texts are read."""
@@ -30,24 +37,25 @@ def term_counts(docs: DataFrame, key: str, text: str, stop_words: Sequence[str]
     )
 
 
-def tfidf(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = (), min_df: int = MIN_DOCUMENTS, max_terms: int = MAX_TERMS) -> DataFrame:
+def tfidf(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = (), min_df: int = MIN_DOCUMENTS, max_terms: int | None = None) -> DataFrame:
     """(doc, term, weight) with smooth idf and unit-length rows.
 
-    The vocabulary is the ``max_terms`` most counted terms found in ``min_df`` documents or
-    more; ties go by term. It is bounded by ``max_terms`` and therefore broadcast.
+    The vocabulary is every term found in ``min_df`` documents or more, or the ``max_terms`` most counted of
+    them; ties go by term. Counts per document are written once and serve the vocabulary and the weights.
     """
-    tf = term_counts(docs, key, text, stop_words)
+    tf = cut(term_counts(docs, key, text, stop_words))
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
     vocabulary = (
         tf.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
         .filter(F.col("df") >= min_df)
-        .orderBy(F.col("total").desc(), "term")
-        .limit(max_terms)
-        .crossJoin(F.broadcast(n_docs))
-        .select("term", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     )
-    raw = tf.join(F.broadcast(vocabulary), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
+    if max_terms is not None:
+        vocabulary = vocabulary.orderBy(F.col("total").desc(), "term").limit(max_terms)
+    vocabulary = vocabulary.crossJoin(F.broadcast(n_docs)).select(
+        "term", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")
+    )
+    raw = tf.join(vocabulary, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
