@@ -152,13 +152,13 @@ def _(t):
 
 @case(
     "ix_02_plain_percentile",
-    f"WITH r AS (SELECT o_orderkey, {pct('o_totalprice', True)} AS p FROM orders WHERE o_orderstatus <> 'P') SELECT * FROM r",
+    f"WITH r AS (SELECT o_orderkey, {pct('o_totalprice', True)} AS p FROM orders WHERE o_orderstatus <> 'P') SELECT * FROM r UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderstatus = 'P'",
     "p",
 )
 def _(t):
-    rows = t.orders.filter("o_orderstatus <> 'P'")
-    spec = {"p": Component("o_totalprice", F.lit(True), inverse=True)}
-    return add_percentiles(rows, "o_orderkey", spec, winsorize=False).select("o_orderkey", "p")
+    """Orders outside the mask keep their row, without a score."""
+    spec = {"p": Component("o_totalprice", F.col("o_orderstatus") != "P", inverse=True)}
+    return add_percentiles(t.orders, "o_orderkey", spec, winsorize=False).select("o_orderkey", "p")
 
 
 @case(

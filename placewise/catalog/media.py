@@ -239,14 +239,15 @@ def _split(t):
 def _(t):
     train, test = _split(t)
     numeric, categorical = ml.split_columns(train, ["patient_id", "target", "in_train"])
-    return ml.score(ml.fit(train, numeric, categorical, ml.logistic("target")), test, "target", ["patient_id"])
+    return ml.score(ml.fit(train, numeric, categorical, ml.logistic("target", train.count())), test, "target", ["patient_id"])
 
 
 @case("ml_06_logistic_metrics")
 def _(t):
     train, test = _split(t)
-    plain = ml.score(ml.fit(train, NUMERIC, CATEGORICAL, ml.logistic("target")), test, "target")
-    weighted = ml.fit(ml.balanced_weights(train, "target"), NUMERIC, CATEGORICAL, ml.logistic("target", balanced=True))
+    rows = train.count()
+    plain = ml.score(ml.fit(train, NUMERIC, CATEGORICAL, ml.logistic("target", rows)), test, "target")
+    weighted = ml.fit(ml.balanced_weights(train, "target"), NUMERIC, CATEGORICAL, ml.logistic("target", rows, balanced=True))
     return (
         ml.metrics(plain).withColumn("model", F.lit("plain"))
         .unionByName(ml.metrics(ml.score(weighted, test, "target")).withColumn("model", F.lit("balanced")))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placewise.catalog.base import case, stage
+from placewise.functions.columns import parse_period
 from placewise.operators import aggregates as ag
 from placewise.plans import priority, supply
 from placewise.plans import territory as terr
+from placewise.sources import payloads
 
 BOX = "latitude BETWEEN -34 AND 6 AND longitude BETWEEN -74 AND -34"
 
@@ -236,7 +238,7 @@ def _(t):
 )
 def _(t):
     base = t.st_gap_base.filter("ubs_records > 9").select("ibge_municipio", "uf_sigla", "municipio_nome_ibge", "populacao_residente", "ubs_records", "area_km2")
-    newest = t.st_coverage.filter("competencia_cnes = '02/2026'")
+    newest = payloads.newest_period(t.st_coverage, "competencia_cnes", parse_period("competencia_cnes"))
     return terr.extend_with_coverage(base, newest).select("ibge_municipio", "uf_sigla", "populacao_residente", "ubs_records")
 
 
@@ -274,7 +276,7 @@ def status(t):
 
 
 def gap(t):
-    newest = t.st_coverage.filter("competencia_cnes = '02/2026'")
+    newest = payloads.newest_period(t.st_coverage, "competencia_cnes", parse_period("competencia_cnes"))
     observed = t.st_registry.select(F.col("ibge").alias("ibge_municipio"), "cnes").join(
         t.st_registry_latest.select("cnes", F.lit(True).alias("cnes_present_latest_st")), "cnes", "left"
     )

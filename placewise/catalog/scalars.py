@@ -11,7 +11,7 @@ from placewise.operators import aggregates as ag
 from placewise.operators import joins as jn
 from placewise.operators import ordering
 from placewise.plans import territory as terr
-from placewise.sources import readers
+from placewise.sources import payloads, readers
 
 SLUG = """trim(regexp_replace(regexp_replace(strip_accents(lower(trim({0}))), '[^\\x00-\\x7F]', '', 'g'),
   '[^a-z0-9]+', '_', 'g'), '_')"""
@@ -154,13 +154,16 @@ def _(t):
 
 @case(
     "flt_07_prefix_and_sentinel",
-    "SELECT cnes, idequipe FROM st_teams WHERE dt_desat IN ('', '900001') AND starts_with(idequipe, '1')",
+    """SELECT 'physician' AS kind, cnes, cbo AS code FROM st_professionals WHERE starts_with(cbo, '225')
+       UNION ALL SELECT 'open team', cnes, idequipe FROM st_teams WHERE dt_desat IN ('', '900001')""",
 )
 def _(t):
+    """Occupations by the beginning of their code; teams by the codes that stand for no closing date."""
     from placewise.plans.supply import OPEN_TEAM_CODES
 
-    open_team = F.col("dt_desat").isin(*OPEN_TEAM_CODES) & F.col("idequipe").startswith("1")
-    return t.st_teams.filter(open_team).select("cnes", "idequipe")
+    physicians = t.st_professionals.filter(F.col("cbo").startswith("225"))
+    teams = t.st_teams.filter(F.col("dt_desat").isin(*OPEN_TEAM_CODES))
+    return physicians.select(F.lit("physician").alias("kind"), "cnes", F.col("cbo").alias("code")).union(teams.select(F.lit("open team"), "cnes", "idequipe"))
 
 
 @case(
@@ -668,7 +671,8 @@ def _(t):
          WHERE competencia_cnes = '02/2026') c ON p.uf_sigla = c.uf_sigla AND p.municipio_nome_ibge = c.municipio_nome_aps""",
 )
 def _(t):
-    latest = t.st_coverage.filter("competencia_cnes = '02/2026'").withColumn("municipio_key", c.slug("municipio_nome_aps"))
+    newest = payloads.newest_period(t.st_coverage, "competencia_cnes", c.parse_period("competencia_cnes"))
+    latest = newest.withColumn("municipio_key", c.slug("municipio_nome_aps"))
     base = t.st_places.withColumn("municipio_key", c.slug("municipio_nome_ibge"))
     names = ["uf_sigla", "municipio_key"]
     parts = [

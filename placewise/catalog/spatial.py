@@ -49,10 +49,16 @@ def shapes(t):
 
 
 def own_square(t):
-    """Facilities with the shape of their declared place."""
-    return t.st_registry.filter("latitude IS NOT NULL AND longitude IS NOT NULL").join(
-        stage(t, "shapes", lambda: shapes(t)), "ibge_municipio_7"
-    )
+    """Facilities with the shape of their declared place; those without coordinates too."""
+    return t.st_registry.join(stage(t, "shapes", lambda: shapes(t)), "ibge_municipio_7")
+
+
+def where_located(hit):
+    """Null without coordinates."""
+    return F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), hit)
+
+
+LOCATED = "CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN"
 
 
 @case(
@@ -90,11 +96,12 @@ def _(t):
 
 @case(
     "ge_04_point_in_ring",
-    """SELECT cnes, longitude >= x0 AND longitude < x1 AND latitude >= y0 AND latitude < y1 AS inside FROM st_registry
-       JOIN st_squares USING (ibge_municipio_7) WHERE latitude IS NOT NULL AND longitude IS NOT NULL""",
+    f"""SELECT cnes, {LOCATED} longitude >= x0 AND longitude < x1 AND latitude >= y0 AND latitude < y1 END AS inside FROM st_registry
+       JOIN st_squares USING (ibge_municipio_7)""",
 )
 def _(t):
-    return own_square(t).select("cnes", geo.in_ring(F.col("longitude"), F.col("latitude"), F.col("coordinates")[0][0]).alias("inside"))
+    hit = geo.in_ring(F.col("longitude"), F.col("latitude"), F.col("coordinates")[0][0])
+    return own_square(t).select("cnes", where_located(hit).alias("inside"))
 
 
 INSIDE = """(longitude BETWEEN x0 - 1e-10 AND x1 + 1e-10 AND latitude BETWEEN y0 - 1e-10 AND y1 + 1e-10
@@ -104,11 +111,11 @@ INSIDE = """(longitude BETWEEN x0 - 1e-10 AND x1 + 1e-10 AND latitude BETWEEN y0
 
 @case(
     "ge_05_point_in_multipolygon",
-    f"SELECT cnes, {INSIDE} AS inside FROM st_registry JOIN st_squares USING (ibge_municipio_7) WHERE latitude IS NOT NULL AND longitude IS NOT NULL",
+    f"SELECT cnes, {LOCATED} {INSIDE} END AS inside FROM st_registry JOIN st_squares USING (ibge_municipio_7)",
 )
 def _(t):
     hit = geo.in_multipolygon(F.col("longitude"), F.col("latitude"), F.col("coordinates"), F.col("bbox"))
-    return own_square(t).select("cnes", hit.alias("inside"))
+    return own_square(t).select("cnes", where_located(hit).alias("inside"))
 
 
 @case(
