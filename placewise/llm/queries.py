@@ -119,3 +119,66 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def _block(word: str) -> str:
+    return f"CASE WHEN {word} < 0 THEN -1 WHEN {word} < long * (short + 1) THEN ({word}) // (short + 1) ELSE long + ({word} - long * (short + 1)) // short END"
+
+
+def _seats(rows: str, votes: str, ideal: str, cap: str, total: str, within: str, tie: str) -> str:
+    """CTEs that end in {rows}_won (within, tie, seats)."""
+    return f"""{rows}_sure AS (SELECT *, {votes} AS votes, CAST(greatest(least(floor({ideal}) - 1, {cap}), 0) AS BIGINT) AS sure, {total} AS seats_all FROM {rows}),
+{rows}_open AS (SELECT *, seats_all - sum(sure) OVER (PARTITION BY {within}) AS left_open FROM {rows}_sure),
+{rows}_try AS (SELECT {within} AS g, {tie} AS tie, left_open, votes, unnest(range(sure + 1, least(sure + 4, CAST({cap} AS BIGINT)) + 1)) AS k FROM {rows}_open),
+{rows}_place AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY votes / (2 * k - 1) DESC, tie) AS place FROM {rows}_try),
+{rows}_more AS (SELECT g, tie, count(*) AS won FROM {rows}_place WHERE place <= left_open GROUP BY ALL),
+{rows}_won AS (SELECT o.*, sure + coalesce(won, 0) AS seats FROM {rows}_open o LEFT JOIN {rows}_more m ON m.g = {within} AND m.tie = {tie})"""
+
+
+ORACLES["op8_source_mix"] = f"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
+    md5('{mixture.SEED}:' || doc_id) AS key, substr(md5('{mixture.SEED}:' || doc_id), 1, {mixture.SHARD_DIGITS}) AS shard
+  FROM documents
+), t0 AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM d GROUP BY source
+), t1 AS (
+  SELECT *, src % 3 + 1 AS w, 3 * source_size AS cap FROM t0
+), t2 AS (
+  SELECT *, CAST(sum(source_size) OVER () - sum(cap) OVER o + cap AS BIGINT) AS rest, CAST(sum(w) OVER () - sum(w) OVER o + w AS BIGINT) AS weight
+  FROM t1 WINDOW o AS (ORDER BY cap / w, src ROWS UNBOUNDED PRECEDING)
+), f AS (
+  SELECT cap / w AS ratio, src, rest, weight FROM t2 WHERE cap * weight > rest * w ORDER BY 1, 2 LIMIT 1
+), t3 AS (
+  SELECT t2.*, CASE WHEN f.src IS NULL OR t2.cap / t2.w < f.ratio OR (t2.cap / t2.w = f.ratio AND t2.src < f.src) THEN CAST(t2.cap AS DOUBLE)
+    ELSE CAST(t2.w * f.rest AS DOUBLE) / CAST(f.weight AS DOUBLE) END AS target FROM t2 LEFT JOIN f ON true
+), t4 AS (
+  SELECT *, 0 AS one, CASE WHEN source_size > 0 THEN greatest(CAST(round(source_size / {mixture.BLOCK}) AS BIGINT), 1) ELSE 0 END AS n FROM t3
+), t5 AS (
+  SELECT *, source_size // greatest(n, 1) AS short, source_size % greatest(n, 1) AS long,
+    CASE WHEN n > 0 THEN target * n / source_size ELSE 0 END AS ideal FROM t4
+), t6 AS (SELECT *, round(sum(ideal) OVER ()) AS every FROM t5),
+{_seats("t6", "ideal", "ideal", "3 * n", "every", "one", "src")},
+h0 AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY ALL),
+h1 AS (
+  SELECT t.src, t.source, t.source_size, t.target, t.n, t.short, t.long, t.seats AS quota, shard, words,
+    CAST(sum(words) OVER (PARTITION BY t.src ORDER BY shard) - words AS BIGINT) AS start
+  FROM h0 JOIN t6_won t ON t.source IS NOT DISTINCT FROM h0.source
+), h2 AS (SELECT *, {_block("start - 1")} + 1 AS first FROM h1),
+h3 AS (SELECT *, {_block("start + words - 1")} + 1 - first AS blocks FROM h2),
+h4 AS (SELECT *, CASE WHEN n > 0 THEN quota * blocks / n ELSE 0 END AS ideal FROM h3),
+{_seats("h4", "CAST(blocks AS DOUBLE)", "ideal", "3 * blocks", "quota", "src", "shard")},
+c0 AS (SELECT src, shard, seats, blocks, unnest(range(first, first + blocks)) AS block FROM h4_won WHERE blocks > 0),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY src, shard ORDER BY md5('{mixture.SEED}:' || src || ':' || block), block) AS place FROM c0),
+c AS (SELECT src, block, seats // blocks + CASE WHEN place <= seats % blocks THEN 1 ELSE 0 END AS times FROM c1),
+r0 AS (
+  SELECT d.doc_id, d.size, h.src, h.source_size, h.target, h.short, h.long,
+    CAST(h.start + sum(d.size) OVER (PARTITION BY h.src, h.shard ORDER BY d.key, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS a
+  FROM d JOIN h4_won h ON h.source IS NOT DISTINCT FROM d.source AND h.shard = d.shard
+), r1 AS (SELECT *, unnest(range({_block("a")}, {_block("a + size - 1")} + 1)) AS block FROM r0 WHERE size > 0),
+r2 AS (
+  SELECT doc_id, sum((least(a + size, (r1.block + 1) * short + least(r1.block + 1, long)) - greatest(a, r1.block * short + least(r1.block, long))) * coalesce(times, 0)) AS taken
+  FROM r1 LEFT JOIN c ON c.src = r1.src AND c.block = r1.block GROUP BY doc_id
+)
+SELECT r0.doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM r0 LEFT JOIN r2 ON r2.doc_id = r0.doc_id
+"""
