@@ -25,8 +25,9 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 DEFAULT_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-#: Distinct pieces kept by a worker, and characters of a stretch.
-KEPT, STRETCH = 200_000, 1 << 20
+#: Distinct pieces kept by a worker in each of two generations, characters of a stretch, rows handled at a time.
+KEPT, STRETCH, ROWS = 200_000, 1 << 20, 512
+_ASCII_SPACE = tuple(" \t\n\r\x0b\x0c")
 
 #: A piece: leading ASCII white space and what follows up to the next.
 _PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
@@ -57,6 +58,7 @@ class Codec:
         self.tokenizer = Tokenizer(models.BPE(vocab={as_text(t): i for t, i in by_bytes.items()}, merges=merges, ignore_merges=True))
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(public_tokenizers.PATTERN), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         byte_of = {c: b for b, c in enumerate(table)}
         tokens = [b""] * (max(by_bytes.values()) + 2)
         for text, i in self.tokenizer.get_vocab().items():
@@ -78,17 +80,34 @@ class Codec:
         return out, count
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece as little-endian unsigned 32-bit integers."""
-        new = set(pieces).difference(self.cache)
-        if len(self.cache) + len(new) > KEPT:
-            self.cache.clear()
-            new = set(pieces)
-        new = list(new)
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
+        """Ids of each piece as little-endian unsigned 32-bit integers. Two generations of pieces are kept, so
+        that frequent ones outlive the many that come once."""
+        wanted = set(pieces)
+        if len(self.cache) + len(wanted) > KEPT:
+            self.old, self.cache = self.cache, {}
+        new = wanted.difference(self.cache)
+        self.cache.update({p: self.old[p] for p in new if p in self.old})
+        self.encode_new([p for p in new if p not in self.old])
+        return list(map(self.cache.__getitem__, pieces))
+
+    def encode_new(self, pieces: list[str]) -> None:
+        """Pieces that begin with white space and end with something else are encoded as one text, since no
+        match crosses from one into the next; the lengths of the tokens part their ids again."""
+        together = [p for p in pieces if p[:1] in _ASCII_SPACE and not p[-1:].isspace()]
+        alone = [p for p in pieces if not (p[:1] in _ASCII_SPACE and not p[-1:].isspace())]
+        for k in range(0, len(alone), 4096):
+            some = alone[k : k + 4096]
             for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.cache[piece] = array("I", found.ids).tobytes()
-        return list(map(self.cache.__getitem__, pieces))
+        for k in range(0, len(together), 8192):
+            some = together[k : k + 8192]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(p.encode()) for p in some])
+            cut = (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1).tolist()
+            at, flat = 0, ids.tobytes()
+            for piece, end in zip(some, cut, strict=True):
+                self.cache[piece] = flat[4 * at : 4 * end]
+                at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -126,6 +145,13 @@ class Codec:
         return place[end - size], place[end - 1] + 1
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ROWS rows at most, so that what is made of them stays small."""
+    for x in batches:
+        for k in range(0, x.num_rows, ROWS):
+            yield x.slice(k, ROWS)
+
+
 @lru_cache(1)
 def codec(ranks: bytes) -> Codec:
     """One per worker process."""
@@ -144,7 +170,7 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks)
-        for x in batches:
+        for x in sliced(batches):
             ids = own.encode([t or "" for t in x.column(1).to_pylist()])
             columns = [x.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
             names = ["doc_id", "n_tokens", "ids"]
@@ -167,7 +193,7 @@ def decode(encoded: DataFrame, path: str = DEFAULT_RANKS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks)
-        for x in batches:
+        for x in sliced(batches):
             found = [None if i is None else own.decode(i) for i in x.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(found, pa.binary())], [*x.schema.names, "decoded"])
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewise.llm.bpe import DEFAULT_RANKS, Codec, codec, read_ranks
+from placewise.llm.bpe import DEFAULT_RANKS, Codec, codec, read_ranks, sliced
 
 #: Characters of a leaf, about.
 LEAF = 128
@@ -119,7 +119,7 @@ def index(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str = D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks)
-        for x in batches:
+        for x in sliced(batches):
             texts = [t or "" for t in x.column(1).to_pylist()]
             cut = [leaves(t) for t in texts]
             flat = counted(own, [leaf for c in cut for leaf in c])
@@ -147,7 +147,7 @@ def recount(indexed: DataFrame, path: str = DEFAULT_RANKS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks)
-        for x in batches:
+        for x in sliced(batches):
             found = []
             for text, tokens, edits in zip(*(x.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                 doc, made, shift, done = Document(own, text, tokens), 0, 0, 0
