@@ -83,7 +83,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     sizes = written(sizes.withColumn("key", key).withColumn("shard", F.substring("key", 1, digits)), "sizes")
     sources = targets(sizes, weights, repeats)
     n = F.when(F.col("source_size") > 0, F.greatest(F.round(F.col("source_size") / block), F.lit(1))).otherwise(0).cast("long")
-    sources = sources.withColumn("n", n).withColumns({"one": F.lit(0), "short": F.expr("source_size div n"), "long": F.expr("source_size % n")})
+    sources = sources.withColumn("n", n).withColumns({"one": F.lit(0), "short": F.expr("source_size div greatest(n, 1)"), "long": F.expr("source_size % greatest(n, 1)")})
     ideal = F.when(F.col("n") > 0, F.col("target") * F.col("n") / F.col("source_size")).otherwise(0.0)
     total = F.round(F.sum(ideal).over(Window.partitionBy("one")))
     sources = seats(sources, ideal, ideal, repeats * F.col("n"), total, ["one"], ["src"])
@@ -110,7 +110,8 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     rows = rows.withColumn("begin", F.col("offset") + F.sum("size").over(order) - F.col("size"))
     begin, end, at = F.col("begin"), F.col("begin") + F.col("size"), F.col("block")
     rows = rows.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(_block("begin"), _block("begin + size - 1"))).otherwise(F.array(F.lit(-1).cast("long")))))
-    rows = rows.join(chosen, (F.col("src") == F.col("csrc")) & (at == F.col("cblock")), "left")
+    # Exploded blocks are many more than Spark expects of their small table: never broadcast them.
+    rows = rows.join(chosen.hint("merge"), (F.col("src") == F.col("csrc")) & (at == F.col("cblock")), "left")
     bound = lambda k: k * F.col("short") + F.least(k, F.col("long"))
     low, high = F.greatest(begin, bound(at)), F.least(end, bound(at + 1))
     words = F.when(F.col("size") > 0, high - low).otherwise(0)
