@@ -141,7 +141,8 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     at = fps.select("fp").mapInArrow(run, "anchor int, fp long, home boolean")
     homes = at.where("home").select("anchor", F.col("fp").alias("b"))
     visitors = at.select("anchor", F.col("fp").alias("a"))
-    return homes.join(visitors, (homes.anchor == visitors.anchor) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
+    # Visitors are many more than Spark expects of the fingerprints: never broadcast them.
+    return homes.join(visitors.hint("merge"), (homes.anchor == visitors.anchor) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", distance: int = 2) -> DataFrame:
