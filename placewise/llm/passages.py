@@ -49,11 +49,12 @@ def own_anchors(ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return seed, pooled(seed, length - SEED_WORDS + 1, np.minimum)
 
 
-def anchor_places(ids: np.ndarray, length: int) -> np.ndarray:
-    """The anchors, once for each place where one stands."""
+def anchor_places(ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors, and the number of places where each stands."""
     seed, own = own_anchors(ids, length)
     edge = np.zeros(length - SEED_WORDS, "u8")
-    return seed[pooled(np.concatenate([edge, own, edge]), length - SEED_WORDS + 1, np.maximum) == seed]
+    at = pooled(np.concatenate([edge, own, edge]), length - SEED_WORDS + 1, np.maximum) == seed
+    return np.unique(seed[at], return_counts=True)
 
 
 def anchored_windows(ids: np.ndarray, shared: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,14 +103,16 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            rows, found = [], []
+            rows, found, places = [], [], []
             for i, t in enumerate(raw(x.column(2))):
                 if len(ids := word_ids(t)) >= length:
-                    found.append(anchor_places(ids, length).view("i8"))
-                    rows.append(np.full(len(found[-1]), i))
+                    anchor, n = anchor_places(ids, length)
+                    found.append(anchor.view("i8"))
+                    places.append(n)
+                    rows.append(np.full(len(n), i))
             if found:
                 at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([x.column(0).take(at), x.column(1).take(at), pa.array(np.concatenate(found))], ["id", "tkey", "anchor"])
+                yield pa.RecordBatch.from_arrays([x.column(0).take(at), x.column(1).take(at), pa.array(np.concatenate(found)), pa.array(np.concatenate(places))], ["id", "tkey", "anchor", "n"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -143,8 +146,9 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
     texts = keyed.select(*row, F.md5("text").alias("same"))
     classes = texts.groupBy("same").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
     copies = written(texts.join(classes, "same").select(*row, (F.col("id") > F.col("least")).alias("later")).distinct(), "copies")
-    anchors = written(keyed.mapInArrow(seeds, "id long, tkey long, anchor long"), "anchors")
-    shared = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
+    anchors = written(keyed.mapInArrow(seeds, "id long, tkey long, anchor long, n long"), "anchors")
+    # A table of its own, so that the join deals both sides anew and AQE can split a hot anchor.
+    shared = written(anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "shared")
     marked = anchors.join(shared, "anchor").groupBy(*row).agg(F.collect_set("anchor").alias("anchors"))
     marked = marked.join(copies.where("later"), row, "left_anti")
     every = _packed(keyed).join(marked, row).mapInArrow(windows, "id long, tkey long, start int, window long, known boolean")
