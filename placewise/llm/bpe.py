@@ -26,7 +26,7 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 DEFAULT_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 #: Distinct pieces kept by a worker in each of two generations, characters of a stretch, rows handled at a time.
-KEPT, STRETCH, ROWS = 200_000, 1 << 20, 512
+KEPT, STRETCH, ROWS = 100_000, 1 << 20, 512
 _ASCII_SPACE = tuple(" \t\n\r\x0b\x0c")
 
 #: A piece: leading ASCII white space and what follows up to the next.
@@ -47,28 +47,59 @@ def read_ranks(path: str = DEFAULT_RANKS) -> bytes:
     return Path(path).read_bytes()
 
 
-class Codec:
+def ranks_of(ranks: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
+
+
+class Tables:
+    """Bytes of each id, from the characters of its token by the reversed byte table. Decoding needs no more."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        byte_of = {c: b for b, c in enumerate(byte_characters())}
+        unknown = "\ufffd".encode()  # for ids that the file doesn't have
+        tokens = [unknown] * (max(vocabulary.values()) + 2)
+        for text, i in vocabulary.items():
+            tokens[i] = bytes(byte_of[c] for c in text)
+        self.size = np.fromiter(map(len, tokens), "i8", len(tokens))
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(tokens), "u1")
+
+    def known(self, ids: bytes) -> np.ndarray:
+        return np.minimum(np.frombuffer(ids, "<u4"), len(self.size) - 1)
+
+    def decode(self, ids: bytes) -> bytes:
+        parts, ids = [], self.known(ids)
+        for k in range(0, len(ids), 1 << 18):
+            some = ids[k : k + (1 << 18)]
+            size = self.size[some]
+            begin = np.cumsum(size) - size
+            parts.append(self.bytes[np.repeat(self.start[some] - begin, size) + np.arange(size.sum())].tobytes())
+        return b"".join(parts)
+
+    def spans(self, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, end) of each token in characters; a token with part of a character spans it whole."""
+        size = self.size[self.known(ids)]
+        end = np.cumsum(size)
+        place = np.cumsum((np.frombuffer(self.decode(ids), "u1") & 0xC0) != 0x80) - 1  # the character of each byte
+        return place[end - size], place[end - 1] + 1
+
+
+class Codec(Tables):
+    """Tables with the library's tokenizer."""
+
     def __init__(self, ranks: bytes):
-        by_bytes = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
+        by_bytes = ranks_of(ranks)
         table = byte_characters()
         as_text = lambda token: "".join(table[b] for b in token)
+        vocabulary = {as_text(t): i for t, i in by_bytes.items()}
+        super().__init__(vocabulary)
         merges = []
         for token in sorted(by_bytes, key=by_bytes.get):
             merges += [(as_text(token[:k]), as_text(token[k:])) for k in range(1, len(token)) if token[:k] in by_bytes and token[k:] in by_bytes]
-        self.tokenizer = Tokenizer(models.BPE(vocab={as_text(t): i for t, i in by_bytes.items()}, merges=merges, ignore_merges=True))
+        self.tokenizer = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True))
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(public_tokenizers.PATTERN), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        byte_of = {c: b for b, c in enumerate(table)}
-        tokens = [b""] * (max(by_bytes.values()) + 2)
-        for text, i in self.tokenizer.get_vocab().items():
-            tokens[i] = bytes(byte_of[c] for c in text)
-        tokens[-1] = "\ufffd".encode()  # for ids that the file doesn't have
-        self.size = np.fromiter(map(len, tokens), "i8", len(tokens))
-        self.size[[i for i, t in enumerate(tokens) if not t]] = 3
-        tokens = [t or tokens[-1] for t in tokens]
-        self.start = np.cumsum(self.size) - self.size
-        self.bytes = np.frombuffer(b"".join(tokens), "u1")
 
     def pieces(self, texts: list[str]) -> tuple[list[str], list[int]]:
         """The pieces of all texts, and how many each text has."""
@@ -125,25 +156,6 @@ class Codec:
                 held += len(t)
         return out
 
-    def known(self, ids: bytes) -> np.ndarray:
-        return np.minimum(np.frombuffer(ids, "<u4"), len(self.size) - 1)
-
-    def decode(self, ids: bytes) -> bytes:
-        parts, ids = [], self.known(ids)
-        for k in range(0, len(ids), 1 << 18):
-            some = ids[k : k + (1 << 18)]
-            size = self.size[some]
-            begin = np.cumsum(size) - size
-            parts.append(self.bytes[np.repeat(self.start[some] - begin, size) + np.arange(size.sum())].tobytes())
-        return b"".join(parts)
-
-    def spans(self, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(begin, end) of each token in characters; a token with part of a character spans it whole."""
-        size = self.size[self.known(ids)]
-        end = np.cumsum(size)
-        place = np.cumsum((np.frombuffer(self.decode(ids), "u1") & 0xC0) != 0x80) - 1  # the character of each byte
-        return place[end - size], place[end - 1] + 1
-
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of ROWS rows at most, so that what is made of them stays small."""
@@ -158,6 +170,13 @@ def codec(ranks: bytes) -> Codec:
     return Codec(ranks)
 
 
+@lru_cache(1)
+def tables(ranks: bytes) -> Tables:
+    """One per worker process that only decodes."""
+    table = byte_characters()
+    return Tables({"".join(table[b] for b in t): i for t, i in ranks_of(ranks).items()})
+
+
 def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str = DEFAULT_RANKS, offsets: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids): the whole text's ids as little-endian unsigned 32-bit integers, without special
     tokens; strings of special tokens are ordinary text. ``offsets`` adds begin and end, arrays with each
@@ -192,7 +211,7 @@ def decode(encoded: DataFrame, path: str = DEFAULT_RANKS) -> DataFrame:
     at = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks)
+        own = tables(ranks)
         for x in sliced(batches):
             found = [None if i is None else own.decode(i) for i in x.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(found, pa.binary())], [*x.schema.names, "decoded"])
