@@ -98,7 +98,7 @@ FROM e GROUP BY conv_id
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.without_repeated_lines(table(spark, sf_dir, "documents"))
+    return lines.without_repeated_lines(table(spark, sf_dir, "documents"), wide=True)
 
 
 @query
