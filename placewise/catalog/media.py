@@ -290,7 +290,7 @@ def _(t):
 @case("ml_09_permutation_importance")
 def _(t):
     train, test = _split(t)
-    fitted = ml.fit(train, NUMERIC, CATEGORICAL, ml.forest("target", trees=20, depth=5))
+    fitted = ml.fit(train, NUMERIC, CATEGORICAL, ml.forest("target"))
     return ml.permutation_importance(fitted, test, "patient_id", "target", [*NUMERIC, *CATEGORICAL])
 
 
