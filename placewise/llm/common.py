@@ -25,7 +25,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.work_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of :func:`written` tables that nothing reads any more: all that was made of them is
+    written itself."""
+    for x in tables:
+        path = x.sparkSession._jvm.org.apache.hadoop.fs.Path(x.work_path)
+        path.getFileSystem(x.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of ``names`` that ``df`` doesn't have: the name itself, or with underscores before it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def word_count(text: Column) -> Column:
