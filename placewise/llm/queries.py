@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm import bpe, chat, counts, embeddings, language, lines, mixture, passages, pieces, quality, simhash
+from placewise.llm import bpe, chat, counts, embeddings, language, lines, mixture, passages, pieces, quality, search, simhash
 from placewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,37 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = f"regexp_extract_all(translate(text, '{search.UPPER}', '{search.LOWER}'), '{search.TERM}')"
+ORACLES["op11_ranked_search"] = f"""
+WITH q AS (
+  SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL
+), d AS (
+  SELECT row_number() OVER () AS place, doc_id, {_TERMS} AS terms FROM documents
+), n AS (
+  SELECT place, doc_id, len(terms) AS size FROM d WHERE len(terms) > 0
+), whole AS (
+  SELECT count(*) AS documents, CAST(sum(size) AS BIGINT) AS length FROM n
+), t AS (
+  SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, whole GROUP BY term, documents
+), g AS (
+  SELECT t.place, t.term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * size * documents) // length))) AS gain
+  FROM t JOIN n USING (place) JOIN w USING (term) CROSS JOIN whole
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(gain * times) AS BIGINT) AS score FROM g JOIN q USING (term) JOIN n USING (place) GROUP BY item_id, place, doc_id
+), r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
 @query
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
