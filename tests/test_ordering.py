@@ -56,7 +56,9 @@ def test_quantiles(frame):
     assert np.allclose(got.q, pdf.groupby("g").b.quantile(0.99))
 
 
-def test_weighted_quantile_fixture(spark):
-    df = spark.createDataFrame([(1.0, 90.0), (10.0, 10.0)], "v double, w double")
-    got = o.weighted_quantiles(df, [], F.col("v"), F.col("w"), {"q50": 0.5, "q95": 0.95}).first()
-    assert (got.q50, got.q95) == (1.0, 10.0)
+def test_weighted_quantiles_by_hand(spark):
+    """Of 20 in all, 4 lie at or below 3, 9 at or below 8, 19 at or below 11; weights of nothing, and values unknown, don't count."""
+    rows = [(8.0, 5.0), (3.0, 1.0), (11.0, 10.0), (3.0, 3.0), (50.0, 1.0), (1.0, 0.0), (None, 70.0), (0.5, -2.0)]
+    df = spark.createDataFrame(rows, "v double, w double")
+    got = o.weighted_quantiles(df, [], F.col("v"), F.col("w"), {"a": 0.2, "b": 0.21, "c": 0.45, "d": 0.5, "e": 0.95, "f": 0.96}).first()
+    assert tuple(got) == (3, 8, 8, 11, 11, 50)

@@ -78,20 +78,41 @@ def test_physicians(spark):
     assert (r.active_cnes_teams_all_types, r.active_cnes_team_types, r.ubs_with_cnes_team, r.active_ubs_with_cnes_team) == (2, 2, 2, 1)
 
 
-def test_mobile_and_fixed(spark):
-    """Rows of all operators together count; of fixed lines the newest month of places."""
+MOBILE = "`Código Município` long, Tecnologia string, Operadora string, `Período` string, `% moradores cobertos` double"
+
+
+def test_mobile_by_place_and_technology(spark):
+    """Three places over two months; a row that comes twice counts once, single operators never."""
     rows = [
-        (3106200, "4G5G", "Todas", "02-2025", 0.625),
-        (3106200, "5G", "Todas", "02-2025", 0.3125),
-        (3106200, "4G5G", "VIVO", "02-2025", 0.75),
+        (4106902, "5G", "TODAS", "11-2024", 0.25),
+        (4106902, "5G", "todas", "11-2024", 0.25),
+        (4106902, "4G5G", "Claro", "12-2024", 1.0),
+        (4113700, "4G5G", "Todas", "12-2024", 0.5),
+        (4115200, "2G", "Todas", "01-2025", 0.875),
     ]
-    mobile = spark.createDataFrame(rows, "`Código Município` long, Tecnologia string, Operadora string, `Período` string, `% moradores cobertos` double")
-    r = one(supply.mobile_coverage(mobile))
-    assert (r.mobile_4g5g_resident_coverage_pct, r.mobile_5g_resident_coverage_pct, r.mobile_reference_period) == (62.5, 31.25, "2025-02")
-    rows = [(2024, 12, 3106200, 99.0, "Municipio"), (2025, 1, 3106200, 12.5, "Municipio"), (2025, 2, 3106200, 13.75, "Municipio"), (2025, 2, 0, 40.0, "UF")]
-    fixed = spark.createDataFrame(rows, "Ano int, Mes int, `Codigo IBGE` long, Densidade double, Nivel string")
-    r = one(supply.fixed_broadband(fixed))
-    assert (r.fixed_broadband_accesses_per_100_people, r.fixed_broadband_reference_period) == (13.75, "2025-02")
+    r = {x.ibge_municipio_7: x for x in supply.mobile_coverage(spark.createDataFrame(rows, MOBILE)).collect()}
+    assert set(r) == {"4106902", "4113700"}
+    assert (r["4106902"].mobile_5g_resident_coverage_pct, r["4106902"].mobile_4g5g_resident_coverage_pct) == (25, None)
+    assert r["4113700"].mobile_4g5g_resident_coverage_pct == 50 and r["4113700"].mobile_reference_period == "2024-12"
+
+
+@pytest.mark.parametrize("share,message", [(0.5625, "Conflicting"), (1.25, "outside")])
+def test_mobile_conflicts(spark, share, message):
+    rows = [(4106902, "5G", "Todas", "11-2024", 0.5), (4106902, "5G", "Todas", "11-2024", share)]
+    with pytest.raises(Exception, match=message):
+        supply.mobile_coverage(spark.createDataFrame(rows, MOBILE)).collect()
+
+
+def test_fixed_lines_of_the_newest_month(spark):
+    """December of the year before is older though its number is higher; one month's place must not come twice."""
+    schema = "Ano int, `Mês` int, `Codigo IBGE` long, Densidade double, Nivel string"
+    rows = [(2022, 12, 4106902, 31.5, "Município"), (2023, 3, 4106902, 28.25, "municipio"), (2023, 3, 4113700, 7.0, "MUNICIPIO"), (2023, 4, 41, 55.0, "UF")]
+    r = {x.ibge_municipio_7: x for x in supply.fixed_broadband(spark.createDataFrame(rows, schema)).collect()}
+    assert {k: x.fixed_broadband_accesses_per_100_people for k, x in r.items()} == {"4106902": 28.25, "4113700": 7}
+    assert {x.fixed_broadband_reference_period for x in r.values()} == {"2023-03"}
+    twice = spark.createDataFrame([*rows, (2023, 3, 4113700, 8.0, "Municipio")], schema)
+    with pytest.raises(Exception, match="latest fixed-broadband period"):
+        supply.fixed_broadband(twice).collect()
 
 
 def test_pharmacy_columns(spark):
@@ -101,38 +122,59 @@ def test_pharmacy_columns(spark):
 
 
 def test_coverage_names(spark):
-    raw = spark.createDataFrame([("04/2026", "AC", 120001, "142,74")], "nuComp string, sgUf string, coMunicipioIbge long, qtCobertura string")
-    assert readers.canonical_names(raw, readers.COVERAGE_NAMES).columns == ["competencia_cnes", "uf_sigla", "ibge_municipio", "cobertura_aps_pct"]
+    """Accents, case and signs don't matter; a name that isn't known stays."""
+    raw = spark.createDataFrame([("a", "b", "c", "d", "e")], "COMP_CNES string, noUfAcentuado string, `Município` string, `População` string, extra string")
+    assert readers.canonical_names(raw, readers.COVERAGE_NAMES).columns == ["competencia_cnes", "estado_nome", "ibge_municipio", "aps_populacao", "extra"]
 
 
 def test_map_features(spark):
-    node = {"type": "node", "id": 1, "lat": -10.0, "lon": -50.0, "tags": {"name": "A"}}
-    way = {"type": "way", "id": 2, "center": {"lat": -11.0, "lon": -51.0}}
-    text = json.dumps({"elements": [node, node, way, {"type": "way", "id": 3}]})
-    df = payloads.map_features(spark.createDataFrame([(text,)], "payload string"))
-    assert sorted(r.osm_feature_id for r in df.collect()) == ["node/1", "way/2"]
-
-
-def test_origin_rules(spark):
-    schema = "origin_id string, ibge_municipio_7 string, origin_latitude double, origin_longitude double, origin_population double, origin_source string, origin_granularity string"
-    bad = spark.createDataFrame([("bad", "5208707", 40.0, -49.0, 100.0, "manual", "sector")], schema)
-    with pytest.raises(ValueError):
-        access.validate_origins(bad)
-    old = spark.createDataFrame([("s", "5208707", -16.7, -49.2, 100.0, "x", "sector")], schema).withColumn("source_year", F.lit(2010))
+    """Two answers share a relation; a node without a longitude and a way without a centre have no place."""
+    point = lambda kind, id, **more: {"type": kind, "id": id, **more}
+    shared = point("relation", 71, center={"lat": -3.25, "lon": -60.5}, tags={"amenity": "pharmacy"})
+    first = {"elements": [point("node", 8, lat=-3.5, lon=-60.25), shared, point("node", 9, lat=-3.5)]}
+    second = {"elements": [shared, point("way", 8, center={"lat": 2.5, "lon": -61.0}), point("way", 10, nodes=[1, 2])]}
+    df = payloads.map_features(spark.createDataFrame([(json.dumps(x),) for x in (first, second)], "payload string"))
+    assert sorted(r.osm_feature_id for r in df.collect()) == ["node/8", "relation/71", "way/8"]
+
+
+ORIGIN = "origin_id string, ibge_municipio_7 string, origin_latitude double, origin_longitude double, origin_population double, origin_source string, origin_granularity string"
+
+
+def test_origin_rules_are_counted(spark):
+    """One row breaks two rules, an id comes three times, and the three good rows break none."""
+    rows = [(f"g{k}", "1302603", -3.1, -60.0, 10.0 * k, "census", "grid") for k in range(3)]
+    assert access.validate_origins(spark.createDataFrame(rows, ORIGIN)).count() == 3
+    rows += [("h", None, -3.1, -60.0, -1.0, "census", "grid")] + [("i", "1302603", -3.1, -60.0, None, "census", "grid")] * 3 + [("j", "1302603", 7.5, -60.0, 1.0, "census", "grid")]
+    broken = spark.createDataFrame(rows, ORIGIN)
+    assert {r.rule: r.violations for r in access.violations(broken).collect()} == {"repeated_id": 1, "missing_code": 1, "outside_box": 1, "bad_population": 4}
+    with pytest.raises(ValueError, match="'bad_population': 4"):
+        access.validate_origins(broken)
+
+
+def test_origin_year(spark):
+    """Rows of several years: only those of 2022 pass unless any year is asked for."""
+    rows = spark.createDataFrame([(f"g{y}", "1302603", -3.1, -60.0, 10.0, "census", "grid", y) for y in (2022, 2007)], ORIGIN + ", source_year int")
+    assert one(access.normalize_origins(rows.where("source_year = 2022"))).source_year == 2022
     with pytest.raises(Exception, match="2022"):
-        access.normalize_origins(old).collect()
-    assert one(access.normalize_origins(old, any_year=True)).source_year == 2010
+        access.normalize_origins(rows).collect()
+    assert sorted(r.source_year for r in access.normalize_origins(rows, any_year=True).collect()) == [2007, 2022]
 
 
-def test_municipal_access(spark):
-    rows = [("1", 80.0, 6.0, 1.0), ("1", 20.0, 1.0, 5.0)]
+def test_municipal_access_by_hand(spark):
+    """Origins of 300, 500, 150 and 50 people at 2, 4, 10 and 30 km; 150 of them have no known pharmacy."""
+    rows = [("1302603", 300.0, 2.0, 1.0), ("1302603", 500.0, 4.0, 3.0), ("1302603", 150.0, 10.0, None), ("1302603", 50.0, 30.0, 0.5), ("1302603", 0.0, 90.0, 0.1), ("1400100", 20.0, 6.0, 2.0)]
     acc = spark.createDataFrame(rows, "ibge_municipio_7 string, origin_population double, nearest_ubs_geodesic_km double, nearest_pharmacy_geodesic_km double")
-    places = spark.createDataFrame([("1", 100, 2, 1.0, 4)], "ibge_municipio_7 string, populacao_residente long, active_ubs long, physician_fte_40h double, pharmacies long")
-    r = one(access.municipal_access(acc, places))
-    assert r.phase5_weighted_mean_ubs_km == pytest.approx(5.0)
-    assert r.phase5_population_share_ubs_gt_5km == pytest.approx(0.8)
-    assert r.phase5_population_share_hard_ubs_easy_pharmacy == pytest.approx(0.8)
-    assert r.phase5_access_evidence_grade == "A_intramunicipal_population_weighted"
+    places = spark.createDataFrame([("1302603", 1250, 5, 0.0, None)], "ibge_municipio_7 string, populacao_residente long, active_ubs long, physician_fte_40h double, pharmacies long")
+    r = {x.ibge_municipio_7: x for x in access.municipal_access(acc.withColumn("origin_granularity", F.lit("municipality_single_origin")), places).collect()}
+    a, b = r["1302603"], r["1400100"]
+    assert a.phase5_weighted_mean_ubs_km == pytest.approx((300 * 2 + 500 * 4 + 150 * 10 + 50 * 30) / 1000)
+    assert (a.phase5_weighted_p50_ubs_km, a.phase5_weighted_p90_ubs_km, a.phase5_weighted_p50_pharmacy_km) == (4, 10, 3)
+    shares = (a.phase5_population_share_ubs_gt_5km, a.phase5_population_share_pharmacy_le_2km, a.phase5_population_share_hard_ubs_easy_pharmacy)
+    assert shares == pytest.approx((50 / 850, 350 / 850, 50 / 850))
+    assert (a.phase5_population_origin_coverage_ratio, a.phase5_distance_coverage_ratio) == pytest.approx((0.8, 0.85))
+    assert (a.phase5_population_per_active_ubs, a.phase5_population_per_physician_fte, a.phase5_population_per_pfpb_pharmacy) == (250, None, None)
+    assert (a.phase5_population_origins, a.phase5_access_evidence_grade) == (5, "B2_municipal_population_proxy")
+    assert b.phase5_population_origin_coverage_ratio == 1 and b.phase5_population_share_hard_ubs_easy_pharmacy == 1
 
 
 def test_routing(spark):
@@ -153,10 +195,12 @@ def test_routing(spark):
 
 
 def test_route_response(spark):
-    texts = ['{"code":"Ok","routes":[{"duration":900,"distance":12000}]}', '{"code":"NoRoute"}', "{}"]
+    """The first route counts; an answer without a code or without text, and a code with no route, have none."""
+    texts = ['{"code":"Ok","routes":[{"duration":451.5,"distance":6250.0},{"duration":1,"distance":1}]}', '{"code":"InvalidValue","message":"x"}', '{"routes":[]}', None]
     minutes, km, status = payloads.parse_route(F.col("t"))
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(minutes.alias("m"), km.alias("k"), status.alias("s")).collect()
-    assert [tuple(r) for r in got] == [(15.0, 12.0, "routed"), (None, None, "osrm_NoRoute"), (None, None, "osrm_missing_route")]
+    assert tuple(got[0]) == (7.525, 6.25, "routed") and [tuple(r)[:2] for r in got[1:]] == [(None, None)] * 3
+    assert got[1].s == "osrm_InvalidValue" and got[2].s == "osrm_missing_route"
 
 
 MATRIX = "ibge_municipio string, municipio_nome_ibge string, uf_sigla string, regiao_nome_oficial string, populacao_residente long, phase2_eligibility string, telemedicine_phase2_balanced double, phase2_rank_balanced double, phase2_need_pillar double, phase2_spatial_mismatch_score double, phase2_feasibility_pillar double, digital_readiness_score double, phase2_spatial_target_rank double, phase4_interpretation string"
