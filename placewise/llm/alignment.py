@@ -11,6 +11,7 @@ gets their counts back.
 from __future__ import annotations
 
 import hashlib
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +32,14 @@ DEFAULT_A, DEFAULT_B = public_tokenizers.path("byte_bpe_50k.json"), pieces.DEFAU
 
 #: Ends that a piece merges; rows and characters of a block, unless one text has more.
 WORK, ROWS, CHARACTERS = 1 << 16, 4096, 1 << 22
+#: Distinct cuts kept by a worker in each of two generations.
+KEPT = 300_000
+
+
+#: White space with signs and letters after it that end before a sign or white space, or with all up to white space. No
+#: match of the tokenizer's pattern goes on from a letter to an ASCII sign or digit.
+_SPACE, _SIGN, _LETTER = " \\t-\\r", "!-@[-`{-~", "A-Za-zÀ-ÖØ-öø-ÿ"
+_CUT = re.compile(f"[{_SPACE}]*[{_SIGN}]*[{_LETTER}]+(?=[{_SPACE}{_SIGN}]|\\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
 class ByteLevel(bpe.Codec):
@@ -42,6 +51,27 @@ class ByteLevel(bpe.Codec):
         bpe.Tables.__init__(self, self.tokenizer.get_vocab())
         self.cache, self.old = {}, {}
 
+    def pieces(self, texts: list[str]) -> tuple[list[str], list[int]]:
+        out, count = [], []
+        for t in texts:
+            new = [t] if bpe._WIDE.search(t) else _CUT.findall(t)
+            out += new
+            count.append(len(new))
+        return out, count
+
+    def encode_pieces(self, cuts: list[str]) -> list[bytes]:
+        found = list(map(self.cache.get, cuts))
+        missing = [k for k, f in enumerate(found) if f is None]
+        if missing:
+            new = {cuts[k] for k in missing}
+            if len(self.cache) + len(new) > KEPT:
+                self.old, self.cache = self.cache, {c: f for c, f in zip(cuts, found, strict=True) if f is not None}
+            self.cache.update({c: self.old[c] for c in new if c in self.old})
+            self.encode_new([c for c in new if c not in self.old])
+            for k in missing:
+                found[k] = self.cache[cuts[k]]
+        return found
+
 
 class Pieces(pieces.Codec):
     """Pieces of a model; new cuts that begin with a space are encoded by the library, which puts that space before them."""

@@ -1,14 +1,17 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from placewise.llm import alignment, bpe, queries
+from placewise.llm import alignment, bpe, pieces, queries
 
 from .helpers import frame, prose
 
@@ -102,3 +105,11 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     got = sorted((tuple(r) for r in queries.op13_token_alignment(spark, sf).collect()), key=str)
     assert got == plain([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=("Cs",)), st.sampled_from(" '.,!a1sT\n\tłé×€—")), max_size=40))
+def test_cuts_change_no_token(text):
+    own = alignment.codecs(Path(alignment.DEFAULT_A).read_text(), pieces.read_model())
+    assert np.frombuffer(own[0].encode([text])[0], "u4").tolist() == A.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(own[1].encode([text])[0], "u4").tolist() == B.encode(text)
