@@ -274,10 +274,7 @@ def _(t):
     score = F.exp(F.ln(held) * F.col("share") + F.ln(launch) * (1 - F.col("share"))) * 100
     score = F.when(F.col("aps_relative_gap") == 0, 0.0).otherwise(score)
     scored = subset.crossJoin(F.broadcast(table)).select("draw", score.alias("value"))
-    from placewise.operators.ordering import AVERAGE_RANK, cumulative
-
-    rank = F.expr(f"total + 1 - ({AVERAGE_RANK})")
-    return cumulative(scored, ["draw"]).groupBy("draw").agg(F.sum("weight").alias("n"), F.max(rank).alias("worst"), F.min(rank).alias("best"))
+    return dr.ranks_in_draws(scored).groupBy("draw").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("worst"), F.min("rank").alias("best"))
 
 
 # ---- phase 1 -----------------------------------------------------------------------------------

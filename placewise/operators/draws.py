@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placewise.functions.columns import clip
-from placewise.operators.ordering import AVERAGE_RANK, cumulative
+from placewise.operators.ordering import with_range
 from placewise.operators.scoring import EPSILON
 
 DEFAULT_SEED = 20260712
@@ -64,6 +64,26 @@ def geometric_draw(components: Sequence[str], group: str) -> Column:
     return F.exp(sum(logs[1:], logs[0]))
 
 
+def ranks_in_draws(scored: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``scored`` (draw, value and any more) with ``rank``, from the largest value of the draw down, ties sharing their
+    mean, and ``total``, the values of the draw. Rows without a value go.
+
+    First the rows of each draw are counted in ranges of values, which needs no row to travel. Then all rows go once
+    to the task of their draw and range, where they are ranked with whatever columns they have, and the counts of the
+    lower ranges are added.
+    """
+    placed = with_range(scored.filter(F.col("value").isNotNull()), "value", ranges)
+    counts = placed.groupBy("draw", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    below = Window.partitionBy("draw").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("draw", "_bucket", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"), F.sum("_n").over(Window.partitionBy("draw")).alias("total"))
+    own = Window.partitionBy("draw", "_bucket").orderBy("value")
+    ties = Window.partitionBy("draw", "_bucket", "value")
+    ranked = placed.withColumn("_rank", F.rank().over(own)).withColumn("_ties", F.count(F.lit(1)).over(ties))
+    from_below = F.col("_below") + F.col("_rank") + (F.col("_ties") - 1) / F.lit(2.0)
+    joined = ranked.join(counts.hint("merge"), ["draw", "_bucket"])
+    return joined.select(*scored.columns, (F.col("total") + 1 - from_below).alias("rank"), "total")
+
+
 def simulate(
     subset: DataFrame,
     key: str,
@@ -75,15 +95,11 @@ def simulate(
 ) -> DataFrame:
     """Median and band of score and rank per row, and the chance of the top decile.
 
-    The draw table has ``draws`` rows, a fixed small number, and is broadcast; rows x draws
-    are ranked inside each draw by spread running totals, so no task holds a whole draw.
-    The per-row statistics see ``draws`` values each.
+    The draw table has ``draws`` rows, a fixed small number, and is broadcast; the rows x draws travel twice, to be
+    ranked inside each draw and to be gathered by row. The per-row statistics see ``draws`` values each.
     """
     scored = subset.crossJoin(F.broadcast(table)).select(key, "draw", score.alias("value"))
-    pos = cumulative(scored, ["draw"])
-    ranked = scored.join(
-        pos.select("draw", "value", F.expr(f"total + 1 - ({AVERAGE_RANK})").alias("rank"), "total"), ["draw", "value"]
-    )
+    ranked = ranks_in_draws(scored)
     inside = F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("total") * 0.10))
     aggs = [
         F.percentile("value", F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95))).alias("_s"),

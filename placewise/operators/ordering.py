@@ -5,8 +5,8 @@ rows, sorts that group in a single task. Here the work is spread by value:
 
 1. rows collapse to (keys, value, weight) with map-side combine, so copies of one
    value never travel;
-2. a fixed-size sample of values, picked by hash and therefore the same on every
-   run, gives split points per measure;
+2. a sample of values, picked by hash and therefore the same on every run, gives
+   split points per measure, as many as ranges are asked for;
 3. running totals are taken inside (keys, bucket), and the totals of the earlier
    buckets of the same keys are added.
 
@@ -21,31 +21,60 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_PER_MEASURE = 1000  # within the limit Spark pushes below the shuffle for row_number
-SPLIT_EVERY = 4
-SEARCH_STEPS = (128, 64, 32, 16, 8, 4, 2, 1)
+#: Sampled values for each range.
+PER_RANGE = 4
 
 
-def _bucket(value: Column, splits: Column) -> Column:
-    """Number of splits <= value, by binary search."""
-    steps = F.array(*[F.lit(s) for s in SEARCH_STEPS])
+def _halved(splits: Column, most: int, value: Column) -> Column:
+    """Number of ascending splits <= value, by halving; there are ``most`` splits at most."""
+    steps = [1 << k for k in reversed(range(most.bit_length()))]
     return F.aggregate(
-        steps,
+        F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
-        lambda at, s: F.when(
-            (at + s <= F.size(splits)) & (F.get(splits, at + s - 1) <= value), at + s
-        ).otherwise(at),
+        lambda at, s: F.when((at + s <= F.size(splits)) & (F.get(splits, at + s - 1) <= value), at + s).otherwise(at),
     )
 
 
+def _with_bucket(freq: DataFrame, value: str, ranges: int) -> DataFrame:
+    """``freq`` (with _family) and the number of the range that its value lies in.
+
+    About PER_RANGE values for each range are picked by hash out of all distinct values of a family, so the same ones
+    on every run and whatever task computes them, and every PER_RANGE-th is a split. A value first finds its
+    stretch of about sqrt(ranges) splits, then its place in it, so that a row meets two short arrays however many ranges
+    there are. Both tables have a row for each family, or stretch of one, and are broadcast.
+    """
+    wide = max(2, round(ranges**0.5))
+    share = F.lit(float(PER_RANGE * ranges)) / F.col("_n")
+    sizes = freq.groupBy("_family").agg(F.count(F.lit(1)).alias("_n"))
+    picked = freq.join(F.broadcast(sizes), "_family").filter(F.pmod(F.xxhash64(value), F.lit(1 << 40)) < share * float(1 << 40))
+    every = picked.groupBy("_family").agg(F.array_sort(F.collect_list(value)).alias("_s"))
+    every = every.select("_family", F.filter("_s", lambda _, i: i % PER_RANGE == PER_RANGE - 1).alias("_s"))
+    coarse = every.select("_family", F.filter("_s", lambda _, i: i % wide == wide - 1).alias("_coarse"))
+    at = F.explode(F.sequence(F.lit(0), F.floor(F.size("_s") / wide).cast("int"))).alias("_stretch")
+    fine = every.select("_family", "_s", at).select("_family", "_stretch", F.slice("_s", F.col("_stretch") * wide + 1, F.lit(wide - 1)).alias("_fine"))
+    # a sample is larger than expected by a few hundredths at most; more than twice would need a broken hash
+    most = 2 * ranges // wide + wide
+    found = freq.join(F.broadcast(coarse), "_family", "left").withColumn("_stretch", F.coalesce(_halved(F.col("_coarse"), most, F.col(value)), F.lit(0))).drop("_coarse")
+    found = found.join(F.broadcast(fine), ["_family", "_stretch"], "left")
+    return found.withColumn("_bucket", F.col("_stretch") * wide + F.coalesce(_halved(F.col("_fine"), wide, F.col(value)), F.lit(0))).drop("_stretch", "_fine")
+
+
+def with_range(rows: DataFrame, value: str = "value", ranges: int | None = None) -> DataFrame:
+    """``rows`` with ``_bucket``, the number of the range of values that theirs lies in; null isn't allowed."""
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _with_bucket(rows.withColumn("_family", F.lit(0)), value, ranges).drop("_family")
+
+
 def cumulative(
     rows: DataFrame,
     keys: Sequence[str],
     value: str = "value",
     weight: Column | None = None,
     measure: str | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """Distinct values per key group with their running totals.
+    """Distinct values per key group with their running totals, taken over ``ranges`` ranges of values (as many as
+    the session has shuffle partitions).
 
     Result: ``keys, value, weight, before, total`` where ``before`` is the weight of
     all smaller values of the group and ``total`` the weight of the group. ``measure``
@@ -57,24 +86,8 @@ def cumulative(
     known = rows.filter(F.col(value).isNotNull())
     freq = known.groupBy(*keys, value).agg(w.alias("weight"))
 
-    family = F.col(measure) if measure else F.lit(0)
-    # naming the weight keeps this branch's aggregate equal to the others', so its shuffle is shared
-    by_hash = Window.partitionBy("_family").orderBy(F.xxhash64(value), F.col(value), *keys, "weight")
-    sample = (
-        freq.withColumn("_family", family)
-        .withColumn("_pick", F.row_number().over(by_hash))
-        .filter(F.col("_pick") <= SAMPLE_PER_MEASURE)
-        .groupBy("_family")
-        .agg(F.array_sort(F.collect_list(value)).alias("_sorted"))
-        .select("_family", F.filter("_sorted", lambda _, i: i % SPLIT_EVERY == SPLIT_EVERY - 1).alias("_splits"))
-    )
-    # one row per measure, at most 250 numbers each: safe to broadcast
-    placed = (
-        freq.withColumn("_family", family)
-        .join(F.broadcast(sample), "_family")
-        .withColumn("_bucket", _bucket(F.col(value), F.col("_splits")))
-        .drop("_family", "_splits")
-    )
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = _with_bucket(freq.withColumn("_family", F.col(measure) if measure else F.lit(0)), value, ranges).drop("_family")
     in_bucket = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)

@@ -62,3 +62,18 @@ def test_weighted_quantiles_by_hand(spark):
     df = spark.createDataFrame(rows, "v double, w double")
     got = o.weighted_quantiles(df, [], F.col("v"), F.col("w"), {"a": 0.2, "b": 0.21, "c": 0.45, "d": 0.5, "e": 0.95, "f": 0.96}).first()
     assert tuple(got) == (3, 8, 8, 11, 11, 50)
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 300, 5000])
+def test_any_number_of_ranges(spark, ranges):
+    """Running totals don't depend on the number of ranges; with many, each holds few of 40,000 values."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": rng.integers(0, 2, 40_000), "value": np.round(rng.lognormal(0, 2, 40_000), 4)})
+    rows = spark.createDataFrame(pdf).repartition(4)
+    got = o.cumulative(rows, ["g"], ranges=ranges).toPandas().sort_values(["g", "value"])
+    want = pdf.groupby(["g", "value"]).size().rename("n").reset_index()
+    want["before"] = want.groupby("g").n.cumsum() - want.n
+    assert np.array_equal(got[["g", "value", "weight", "before"]].to_numpy(), want.to_numpy())
+    freq = rows.groupBy("value").count().withColumn("_family", F.lit(0))
+    sizes = [r["count"] for r in o._with_bucket(freq, "value", ranges).groupBy("_bucket").count().collect()]
+    assert abs(len(sizes) - ranges) <= max(0.2 * ranges, 8) and (ranges < 300 or max(sizes) < 0.06 * sum(sizes))
