@@ -1,28 +1,30 @@
 """Nearest-facility join: exact, without a cross join, whatever the density.
 
-Facilities form a tree of square cells whose side shrinks by four per level. An
-origin first gets an upper bound from the facilities of the cells it lies in, then
-only cells that can still beat the bound are opened, level by level, until each holds
-at most ``LEAF_CAPACITY`` points. A city with a third of all facilities is therefore
-split further than the countryside, and an origin never meets more than a few leaves.
-All steps are equi-joins on the cell.
+Facilities of all kinds form one table of square cells, the kind in the key, whose side shrinks by four per level. A
+cell with more than ``LEAF_CAPACITY`` points is open; where none is open any more, a cell is a leaf. So a city with a
+third of all facilities is split further than the countryside, and an origin never meets more than a few leaves.
+
+A search has two rounds. In the first, an origin takes the nearest point of the leaf that it lies in, and is done if
+the disc of that distance stays inside the leaf. In the second, the others open the cells that their disc touches, down to
+leaves. All steps are equi-joins on the cell.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from placewise.functions.columns import half_chord_sq
-from placewise.runtime import cut
+from placewise.runtime import stored
 
 RADIUS_KM = 6371.0088
 ROOT_SIDE = 64.0
 MAX_LEVEL = 12
 LEAF_CAPACITY = 32
-COARSE = 2  # levels 0..2 have at most 18 * (1 + 16 + 256) cells on the whole globe
-CELL = ["level", "x", "y"]
+COARSE = 2  # levels 0..2 have at most 18 * (1 + 16 + 256) cells of a kind on the whole globe
+CELL = ["kind", "level", "x", "y"]
 SLACK = 1.0 + 1e-9
 
 
@@ -52,24 +54,26 @@ def _probe(rows: DataFrame, cells: DataFrame) -> DataFrame:
     return coarse.unionByName(fine)
 
 
-def _gap_to_cell() -> Column:
-    """Lower bound of the squared half chord between the origin and any point of the cell."""
-    side = F.lit(1.0) / _scale(F.col("level"))
-    south, west = F.col("y") * side - 90.0, F.col("x") * side - 180.0
-    north, east = south + side, west + side
+BOX = ["south", "north", "west", "east", "lean"]
 
-    def outside(v: Column, low: Column, high: Column) -> Column:
-        return F.greatest(F.lit(0.0), low - v, v - high)
 
-    dlat = outside(F.col("olat"), south, north)
-    dlon = F.least(*[outside(F.col("olon") + turn, west, east) for turn in (0.0, 360.0, -360.0)])
+def _box() -> list[Column]:
+    """The edges of a cell in degrees, and the least cosine of a latitude on them."""
+    side = F.lit(1.0) / _scale(F.col("level"))
+    south, west = F.col("y") * side - 90.0, F.col("x") * side - 180.0
+    lean = F.greatest(F.lit(0.0), F.least(F.cos(F.radians(south)), F.cos(F.radians(south + side))))
+    return [c.alias(n) for c, n in zip((south, south + side, west, west + side, lean), BOX, strict=True)]
 
-    def half(d: Column) -> Column:
-        s = F.sin(F.radians(d) / 2)
-        return s * s
 
-    shrink = F.least(F.cos(F.radians(south)), F.cos(F.radians(north)))
-    return half(dlat) + F.cos(F.radians(F.col("olat"))) * F.greatest(F.lit(0.0), shrink) * half(dlon)
+def _touched(of: str = "") -> Column:
+    """Whether the disc of the bound reaches the cell whose box is in the columns of that prefix. The lower bound of the
+    squared half chord is a short expression on purpose: a filter evaluates all that stands in it."""
+    south, north, west, east, lean = (F.col(of + c) for c in BOX)
+    lat, lon = F.col("olat"), F.col("olon")
+    high = F.greatest(F.lit(0.0), south - lat, lat - north)
+    wide = F.least(*[F.greatest(F.lit(0.0), west - lon - turn, lon + turn - east) for turn in (0.0, 360.0, -360.0)])
+    half = lambda d: F.pow(F.sin(F.radians(d) / 2), F.lit(2.0))
+    return half(high) + F.cos(F.radians(lat)) * lean * half(wide) <= F.col("bound") * SLACK + 1e-18
 
 
 def _to(lat: str, lon: str) -> Column:
@@ -86,17 +90,32 @@ def _unit(lat: str, lon: str, prefix: str) -> list[Column]:
     ]
 
 
+def _disc(bound: str = "bound") -> tuple[Column, Column]:
+    """Half the height and half the width, in degrees, of the disc of the bound around each origin."""
+    rho = F.asin(F.sqrt(F.least(F.lit(1.0), F.col(bound)))) * 2
+    high = F.degrees(rho) * SLACK + 1e-9
+    lean = F.sin(rho) / F.cos(F.radians(F.col("olat")))
+    all_round = (F.abs(F.col("olat")) + high >= 89.0) | (rho >= 1.5)
+    wide = F.when(all_round, F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), lean))) * SLACK + 1e-9)
+    crosses = (F.col("olon") - wide < -180.0) | (F.col("olon") + wide > 180.0)
+    return high, F.when(crosses, F.lit(360.0)).otherwise(wide)
+
+
+def _inside() -> Column:
+    """Whether the disc stays inside the cell."""
+    side = F.lit(1.0) / _scale(F.col("level"))
+    south, west = F.col("y") * side - 90.0, F.col("x") * side - 180.0
+    high, wide = _disc()
+    lat, lon = F.col("olat"), F.col("olon")
+    return (lat - high > south) & (lat + high < south + side) & (lon - wide > west) & (lon + wide < west + side)
+
+
 def _start_cells(bounded: DataFrame, deepest: int) -> DataFrame:
     """The few cells that cover the disc of the upper bound around each origin."""
-    rho = F.asin(F.sqrt(F.col("bound"))) * 2
-    lat_half = F.degrees(rho) * SLACK + 1e-9
-    lean = F.sin(rho) / F.cos(F.radians(F.col("olat")))
-    wide = (F.abs(F.col("olat")) + lat_half >= 89.0) | (rho >= 1.5)
-    lon_half = F.when(wide, F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), lean))) * SLACK + 1e-9)
-    crosses = (F.col("olon") - lon_half < -180.0) | (F.col("olon") + lon_half > 180.0)
+    high, wide = _disc()
     framed = (
-        bounded.withColumn("_a", lat_half)
-        .withColumn("_o", F.when(crosses, F.lit(360.0)).otherwise(lon_half))
+        bounded.withColumn("_a", high)
+        .withColumn("_o", wide)
         .withColumn("_fit", F.floor(F.log(F.lit(ROOT_SIDE) / (F.greatest("_a", "_o") * 2)) / F.log(F.lit(4.0))))
         .withColumn("level", F.greatest(F.lit(0), F.least(F.lit(deepest), F.col("_fit"))).cast("int"))
     )
@@ -113,121 +132,117 @@ def _start_cells(bounded: DataFrame, deepest: int) -> DataFrame:
     )
 
 
-def _tighten(frontier: DataFrame) -> DataFrame:
-    """Improve each origin's bound with the new cells, then drop cells that cannot beat it.
+def _parents(cells: DataFrame, levels: int) -> list[Column]:
+    return [F.col("kind"), (F.col("level") - levels).alias("level"), F.shiftright("x", 2 * levels).alias("x"), F.shiftright("y", 2 * levels).alias("y")]
 
-    A cell kept from the step before has no new representative and leaves the bound as it is.
-    """
-    same = Window.partitionBy("olat", "olon")
-    return (
-        frontier.withColumn("bound", F.least("bound", F.min(_to("rep_lat", "rep_lon")).over(same)))
-        .filter(_gap_to_cell() <= F.col("bound") * SLACK + 1e-18)
-        .select("olat", "olon", "bound", *CELL)
-    )
 
+def _descent(cells: DataFrame, opened: DataFrame) -> DataFrame:
+    """An open cell and, as ``to``, each cell one or two levels below it that is a leaf or lies two below, with its box."""
+    deeper = cells.filter(F.col("level") > 0)
+    children = opened.join(deeper.select(*_parents(deeper, 1), F.struct(*CELL, *BOX).alias("to")), CELL)
+    below = children.select(*[F.col("to")[c].alias(c) for c in CELL], F.struct(*CELL).alias("_from"), F.col("to").alias("_first"))
+    twice = below.join(children, CELL, "left")
+    return twice.select(*[F.col("_from")[c].alias(c) for c in CELL], F.coalesce("to", "_first").alias("to"))
 
-def nearest_facility(
+
+def _micrometres(radius: float) -> Column:
+    """Whole micrometres between two unit vectors: equal distances compare equal, and no decimal rounding runs per pair."""
+    return F.floor(F.asin(F.least(F.lit(1.0), F.sqrt(_chord_sq()) / 2)) * (2e9 * radius) + 0.5)
+
+
+def _chord_sq() -> Column:
+    gap = [F.col(f"f{a}") - F.col(f"o{a}") for a in "xyz"]
+    return gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
+
+
+def nearest_facilities(
     origins: DataFrame,
-    facilities: DataFrame,
-    label: str,
+    facilities: Mapping[str, DataFrame],
     lat: str = "origin_latitude",
     lon: str = "origin_longitude",
     facility_id: str = "facility_id",
     radius: float = RADIUS_KM,
 ) -> DataFrame:
-    """Adds ``nearest_<label>_id`` and ``nearest_<label>_geodesic_km`` to the origins.
+    """Adds ``nearest_<label>_id`` and ``nearest_<label>_geodesic_km`` to the origins for each label of ``facilities``.
 
-    Facilities need ``latitude`` and ``longitude``; those outside the national box are
-    ignored, and none left is an error. Origins without coordinates get nulls. Equal
-    distances go to the smallest id.
+    Facilities need ``latitude`` and ``longitude``; those outside the national box are ignored, and none left of a
+    label is an error. Origins without coordinates get nulls. Equal distances go to the smallest id.
     """
-    points = cut(
-        facilities.filter(F.col("latitude").between(-34, 6) & F.col("longitude").between(-74, -28))
-        .groupBy(F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lon"))
-        .agg(F.min(F.col(facility_id).cast("string")).alias("fid"))
-    )
-    counted = cut(
-        _on_levels(points)
-        .groupBy(*CELL)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("lat", "lon")).alias("rep"))
-        .select(*CELL, "n", F.col("rep.lat").alias("rep_lat"), F.col("rep.lon").alias("rep_lon"))
-    )
-    opened = (F.col("n") > LEAF_CAPACITY) & (F.col("level") < MAX_LEVEL)
-    # two scalars: is there any facility, and how deep does the densest area reach
-    any_cell, open_level = counted.agg(F.count(F.lit(1)), F.max(F.when(opened, F.col("level")))).first()
-    if not any_cell:
-        raise ValueError(f"No valid {label} facility coordinates")
-    steps = 0 if open_level is None else open_level + 1
-    cells = counted.filter(F.col("level") <= steps)  # nothing is opened below
-    placed = _on_levels(points, steps)
-
-    # each distinct place is searched once; both tables below are read by several branches
-    spots = cut(
-        origins.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-        .select(F.col(lat).cast("double").alias("olat"), F.col(lon).cast("double").alias("olon"))
-        .distinct()
-    )
-    anywhere = points.agg(F.min(F.struct("lat", "lon")).alias("p"))  # one row
-    own = _probe(
-        _on_levels(
-            spots.select("olat", "olon", F.col("olat").alias("lat"), F.col("olon").alias("lon")), steps
-        ).select("olat", "olon", *CELL),
-        cells,
-    )
-    bounded = cut(
-        own.select("olat", "olon", _to("rep_lat", "rep_lon").alias("a"))
-        .unionByName(
-            spots.join(F.broadcast(anywhere)).select("olat", "olon", _to("p.lat", "p.lon").alias("a"))
-        )
-        .groupBy("olat", "olon")
-        .agg(F.min("a").alias("bound"))
-    )
-    frontier = _tighten(_probe(_start_cells(bounded, steps), cells))
-
-    # A step down swaps an opened cell for its children. Opened cells are few (each holds more than
-    # LEAF_CAPACITY points), so this table is small and the engine broadcasts it while it is.
-    children = cut(
-        cells.filter(opened)
-        .select(*CELL)
-        .join(
-            cells.filter(F.col("level") > 0).select(
-                (F.col("level") - 1).alias("level"),
-                F.shiftright("x", 2).alias("x"),
-                F.shiftright("y", 2).alias("y"),
-                F.struct(*CELL, "rep_lat", "rep_lon").alias("to"),
-            ),
-            CELL,
-        )
-    )
-    for _ in range(steps):
-        below = frontier.join(children, CELL, "left")
-        frontier = _tighten(
-            below.select(
-                "olat",
-                "olon",
-                "bound",
-                *[F.coalesce(F.col("to")[c], F.col(c)).alias(c) for c in CELL],
-                "to.rep_lat",
-                "to.rep_lon",
-            )
-        )
-
-    leaves = _probe(placed, cells.filter(~opened).select(*CELL)).select(*CELL, "fid", *_unit("lat", "lon", "f"))
-    searched = frontier.select("olat", "olon", *CELL, *_unit("olat", "olon", "o"))
-    gap = [F.col(f"f{a}") - F.col(f"o{a}") for a in "xyz"]
-    chord = F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2])
-    # whole micrometres: equal distances compare equal, and no decimal rounding runs per pair
-    tiny = F.floor(F.asin(F.least(F.lit(1.0), chord / 2)) * (2e9 * radius) + 0.5)
-    found = (
-        searched.join(leaves, CELL)
-        .groupBy("olat", "olon")
-        .agg(F.min(F.struct(tiny.alias("d"), F.col("fid").alias("id"))).alias("_n"))
-        .select(
-            F.col("olat").alias("_olat"),
-            F.col("olon").alias("_olon"),
-            F.col("_n.id").alias(f"nearest_{label}_id"),
-            (F.col("_n.d") / 1e9).alias(f"nearest_{label}_geodesic_km"),
+    labels = list(facilities)
+    points = None
+    for kind, label in enumerate(labels):
+        own = facilities[label].select(
+            F.lit(kind).alias("kind"), F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lon"), F.col(facility_id).cast("string").alias("fid")
         )
+        points = own if points is None else points.unionByName(own)
+    points = points.filter(F.col("lat").between(-34, 6) & F.col("lon").between(-74, -28)).groupBy("kind", "lat", "lon").agg(F.min("fid").alias("fid"))
+    cells = stored(
+        _on_levels(points).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("lat", "lon")).alias("rep")).select(*CELL, "n", F.col("rep.lat").alias("lat"), F.col("rep.lon").alias("lon"), *_box()),
+        "cells",
     )
+    # a row for each kind: is there any facility, and how deep does the densest area reach
+    is_open = (F.col("n") > LEAF_CAPACITY) & (F.col("level") < MAX_LEVEL)
+    found = {r.kind: r.deepest for r in cells.groupBy("kind").agg(F.max(F.when(is_open, F.col("level"))).alias("deepest")).collect()}
+    for kind, label in enumerate(labels):
+        if kind not in found:
+            raise ValueError(f"No valid {label} facility coordinates")
+    steps = max((-1 if d is None else d) for d in found.values()) + 1
+    cells = cells.filter(F.col("level") <= steps)  # nothing is opened below
+    opened = cells.filter(is_open).select(*CELL)
+
+    # what an origin meets in the first round: the points of a leaf, and for the empty parts of an open cell one point of each
+    # cell one and two levels below it. Points are there on all levels from their leaf down, where a disc may begin.
+    depth = _probe(_on_levels(points, steps), opened).groupBy("kind", "lat", "lon").agg((F.max("level") + 1).alias("leaf"))
+    leveled = points.join(depth, ["kind", "lat", "lon"], "left").withColumn("leaf", F.coalesce("leaf", F.lit(0)))
+    baits = _on_levels(leveled, steps).filter(F.col("level") >= F.col("leaf")).select(*CELL, "fid", (F.col("level") == F.col("leaf")).alias("tree"), *_unit("lat", "lon", "f"))
+    for k in (1, 2):
+        deeper = cells.filter(F.col("level") >= k)
+        above = deeper.select(*_parents(deeper, k), "lat", "lon").join(opened, CELL, "left_semi")
+        baits = baits.unionByName(above.select(*CELL, F.lit(None).cast("string").alias("fid"), F.lit(True).alias("tree"), *_unit("lat", "lon", "f")))
+    baits = stored(baits, "baits")
+
+    # each distinct place is searched once for every kind
+    spots = origins.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(lat).cast("double").alias("olat"), F.col(lon).cast("double").alias("olon")).distinct()
+    kinds = F.explode(F.array(*[F.lit(k) for k in range(len(labels))])).alias("kind")
+    on_cells = _on_levels(spots.select("olat", "olon", F.col("olat").alias("lat"), F.col("olon").alias("lon"), kinds), steps).select("olat", "olon", *CELL)
+    held = _probe(on_cells, cells.select(*CELL, is_open.alias("open")))
+    place = F.struct("level", "x", "y")
+    located = held.groupBy("olat", "olon", "kind").agg(F.coalesce(F.min(F.when(~F.col("open"), place)), F.max(F.when(F.col("open"), place))).alias("at"))
+    located = located.select("olat", "olon", "kind", "at.*", *_unit("olat", "olon", "o"))
+    near = located.join(baits.filter("tree"), CELL).select("olat", "olon", *CELL, "fid", (_chord_sq() / 4).alias("a"), _micrometres(radius).alias("d"))
+    anywhere = cells.groupBy("kind").agg(F.min(F.struct("lat", "lon")).alias("p"))  # a row for each kind
+    far = spots.crossJoin(F.broadcast(anywhere)).select("olat", "olon", "kind", *[F.lit(None).cast(t).alias(c) for c, t in (("level", "int"), ("x", "long"), ("y", "long"), ("fid", "string"))], _to("p.lat", "p.lon").alias("a"), F.lit(None).cast("long").alias("d"))
+    best = F.min(F.when(F.col("fid").isNotNull(), F.struct("d", F.col("fid").alias("id")))).alias("best")
+    own = F.max(F.when(F.col("fid").isNotNull(), F.struct("level", "x", "y"))).alias("own")
+    bounded = near.unionByName(far).groupBy("olat", "olon", "kind").agg(F.min("a").alias("bound"), best, own)
+    bounded = bounded.select("olat", "olon", "kind", "bound", "best", "own.*")
+    bounded = stored(bounded.withColumn("done", F.coalesce(_inside(), F.lit(False))), "bounded")
+
+    frontier = _probe(_start_cells(bounded.filter("NOT done").select("olat", "olon", "kind", "bound"), steps), cells.select(*CELL, *BOX)).filter(_touched()).drop(*BOX)
+    descent = _descent(cells.select(*CELL, *BOX), opened)
+    for _ in range((steps + 1) // 2):
+        below = frontier.join(descent, CELL, "left").filter(F.col("to").isNull() | _touched("to."))
+        frontier = below.select("olat", "olon", "bound", *[F.coalesce(F.col("to")[c], F.col(c)).alias(c) for c in CELL])
+    searched = frontier.select("olat", "olon", *CELL, *_unit("olat", "olon", "o")).join(baits.filter("fid IS NOT NULL").drop("tree"), CELL)
+    second = searched.select("olat", "olon", "kind", F.struct(_micrometres(radius).alias("d"), F.col("fid").alias("id")).alias("best"))
+    result = bounded.filter("done").select("olat", "olon", "kind", "best").unionByName(second)
+    columns = []
+    for kind, label in enumerate(labels):
+        own = F.min(F.when(F.col("kind") == kind, F.col("best")))
+        columns += [own["id"].alias(f"nearest_{label}_id"), (own["d"] / 1e9).alias(f"nearest_{label}_geodesic_km")]
+    result = result.groupBy(F.col("olat").alias("_olat"), F.col("olon").alias("_olon")).agg(*columns)
     on = (F.col(lat).cast("double") == F.col("_olat")) & (F.col(lon).cast("double") == F.col("_olon"))
-    return origins.join(found, on, "left").drop("_olat", "_olon")
+    return origins.join(result, on, "left").drop("_olat", "_olon")
+
+
+def nearest_facility(
+    origins: DataFrame,
+    facilities: DataFrame,
+    label: str,
+    lat: str = "origin_latitude",
+    lon: str = "origin_longitude",
+    facility_id: str = "facility_id",
+    radius: float = RADIUS_KM,
+) -> DataFrame:
+    """:func:`nearest_facilities` of one kind."""
+    return nearest_facilities(origins, {label: facilities}, lat, lon, facility_id, radius)

@@ -17,9 +17,8 @@ from placewise.functions.columns import (
 )
 from placewise.operators.aggregates import first_known_pivot, joined_values, share_of, weighted_mean
 from placewise.operators.joins import left_unique, unique
-from placewise.operators.nearest import nearest_facility
+from placewise.operators.nearest import nearest_facilities
 from placewise.operators.ordering import quantiles, weighted_quantiles
-from placewise.runtime import cut
 from placewise.sources.payloads import parse_route
 from placewise.sources.readers import require_columns
 
@@ -94,9 +93,8 @@ def classify_mismatch(access: DataFrame) -> DataFrame:
 
 
 def origin_access(origins: DataFrame, facilities: DataFrame, pharmacies: DataFrame) -> DataFrame:
-    """Both nearest-facility joins for every origin."""
-    first = cut(nearest_facility(origins, facilities, "ubs"))
-    return nearest_facility(first, pharmacies, "pharmacy")
+    """Both nearest-facility joins for every origin, in one search."""
+    return nearest_facilities(origins, {"ubs": facilities, "pharmacy": pharmacies})
 
 
 # ---- population origins -------------------------------------------------------------------
