@@ -29,7 +29,7 @@ from placewise.llm.bpe import sliced
 DEFAULT_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 #: Distinct cuts kept by a worker in each of two generations, pairs of pieces kept, characters of a stretch.
-KEPT, PAIRS, STRETCH = 500_000, 2_000_000, 1 << 20
+KEPT, PAIRS, STRETCH = 250_000, 1_000_000, 1 << 20
 SPACE = "▁"
 _SIGNS = frozenset(c for c in map(chr, range(33, 127)) if not c.isalpha())
 
@@ -103,9 +103,12 @@ class Codec(Vocabulary):
             self.automaton.add_word(t, self.texts[t])
         self.automaton.make_automaton()
         self.ids = {t: self.texts[t] for t in usable}
-        self.size = {self.texts[t]: len(t) for t in usable}
         self.most = max(map(len, usable))
-        self.shorter = {self.texts[t]: next((self.ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), None) for t in usable}
+        self.size, self.shorter = [0] * len(self.bytes), [-1] * len(self.bytes)  # -1: no shorter one
+        for t in usable:
+            self.size[self.texts[t]] = len(t)
+            self.shorter[self.texts[t]] = next((self.ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), -1)
+        self.plain = all(chr(c) in self.ids for c in range(32, 127))
         self.split = self.cutter()
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -172,38 +175,40 @@ class Codec(Vocabulary):
             else:
                 return True
 
-    def match(self, text: str, begin: int) -> int | None:
+    def match(self, text: str, begin: int) -> int:
         """The longest usable piece at a place."""
-        for size in range(self.automaton.longest_prefix(text[begin : begin + self.most]), 0, -1):
-            found = self.ids.get(text[begin : begin + size])
-            if found is not None:
-                return found
-        return None
+        text = text[begin : begin + self.most]
+        size = self.automaton.longest_prefix(text)
+        found = self.ids.get(text[:size])
+        while found is None:
+            size -= 1
+            found = self.ids.get(text[:size])
+        return found
 
-    def backtrack(self, text: str, out: list[int], at: int, take: int | None) -> list[int]:
+    def backtrack(self, text: str, out: list[int], at: int, take: int) -> list[int]:
         """The pieces of a text of known characters. ``out`` are pieces up to the place ``at`` whose neighbours fit,
         ``take`` is the piece to try next."""
-        size, shorter, known = self.size, self.shorter, self.fits
-        failed = bytearray(len(text) // 8 + 1)
-        while at < len(text):
-            while take is not None:
+        size, shorter, known, match, stop = self.size, self.shorter, self.fits.get, self.match, len(text)
+        failed = bytearray(stop // 8 + 1)
+        last = out[-1] if out else -1
+        while at < stop:
+            while take >= 0:
                 end = at + size[take]
                 if not failed[end >> 3] >> (end & 7) & 1:
-                    if not out:
-                        break
-                    ok = known.get(out[-1] << 32 | take)
-                    if ok or ok is None and self.fit(out[-1], take):
+                    ok = last < 0 or known(last << 32 | take)
+                    if ok or ok is None and self.fit(last, take):
                         break
                 take = shorter[take]
-            if take is not None:
+            if take >= 0:
                 out.append(take)
-                at = end
-                take = self.match(text, end) if end < len(text) else None
+                last, at = take, end
+                if end < stop:
+                    take = match(text, end)
             else:  # nothing fits here: no sequence has a border here
                 failed[at >> 3] |= 1 << (at & 7)
-                back = out.pop()
-                at -= size[back]
-                take = shorter[back]
+                at -= size[out.pop()]
+                take = shorter[last]
+                last = out[-1] if out else -1
         return out
 
     def known(self, text: str) -> list[int]:
@@ -229,26 +234,27 @@ class Codec(Vocabulary):
             for c in cuts:
                 self.cache[c] = array("I", self.encode_cut(c)).tobytes()
             return
-        size, fits = self.size, self.fits
+        size, known = self.size, self.fits.get
         matches = self.automaton.iter_long("\n".join(cuts) + "\n")
         end, piece = next(matches, (1 << 62, 0))
         begin = 0
         for c in cuts:
-            stop, place, ids = begin + len(c), begin, []
+            stop, place, ids, last = begin + len(c), begin, [], -1
             while end < stop:
                 if end + 1 - size[piece] != place:
                     break  # a character that no piece has
-                if ids:
-                    key = ids[-1] << 32 | piece
-                    ok = fits.get(key)
-                    if not ok and (ok is not None or not self.fit(ids[-1], piece)):
+                if last >= 0:
+                    ok = known(last << 32 | piece)
+                    if not ok and (ok is not None or not self.fit(last, piece)):
                         break
                 ids.append(piece)
-                place = end + 1
+                last, place = piece, end + 1
                 end, piece = next(matches, (1 << 62, 0))
             if place < stop:
-                whole = all(map(self.texts.__contains__, c))
-                ids = self.backtrack(c, ids, place - begin, self.shorter[piece]) if whole else self.encode_cut(c)
+                if self.plain and c.isascii() and c.isprintable() or all(map(self.texts.__contains__, c)):
+                    ids = self.backtrack(c, ids, place - begin, self.shorter[piece])
+                else:
+                    ids = self.encode_cut(c)
                 while end < stop:
                     end, piece = next(matches, (1 << 62, 0))
             self.cache[c] = array("I", ids).tobytes()
@@ -257,13 +263,17 @@ class Codec(Vocabulary):
     def encode_cuts(self, cuts: list[str]) -> list[bytes]:
         """Ids of each cut as unsigned 32-bit integers; two generations are kept, so that frequent cuts outlive
         the many that come once."""
-        wanted = set(cuts)
-        if len(self.cache) + len(wanted) > KEPT:
-            self.old, self.cache = self.cache, {}
-        new = wanted.difference(self.cache)
-        self.cache.update({c: self.old[c] for c in new if c in self.old})
-        self.encode_new([c for c in new if c not in self.old])
-        return list(map(self.cache.__getitem__, cuts))
+        found = list(map(self.cache.get, cuts))
+        missing = [k for k, f in enumerate(found) if f is None]
+        if missing:
+            new = {cuts[k] for k in missing}
+            if len(self.cache) + len(new) > KEPT:
+                self.old, self.cache = self.cache, {c: f for c, f in zip(cuts, found, strict=True) if f is not None}
+            self.cache.update({c: self.old[c] for c in new if c in self.old})
+            self.encode_new([c for c in new if c not in self.old])
+            for k in missing:
+                found[k] = self.cache[cuts[k]]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers, without control ids."""
@@ -332,7 +342,9 @@ def decode(encoded: DataFrame, path: str = DEFAULT_MODEL, ids: str = "ids", name
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(model)
         for x in sliced(batches):
-            found = [None if i is None else own.decode(i) for i in x.column(at).to_pylist()]
+            column = x.column(at)
+            flat, ends = column.values.to_numpy(), column.offsets.to_pylist()
+            found = [own.decode(flat[b:e].tolist()) if v else None for b, e, v in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False)]
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(found, pa.string())], [*x.schema.names, name])
 
     return encoded.mapInArrow(run, encoded.withColumn(name, F.lit("")).schema)
