@@ -36,6 +36,13 @@ def discard(*tables: DataFrame) -> None:
     for x in tables:
         path = x.sparkSession._jvm.org.apache.hadoop.fs.Path(x.work_path)
         path.getFileSystem(x.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go when the driver collects its garbage, which a driver with a large heap
+    does seldom: ask for it."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def spare_names(df: DataFrame, *names: str) -> list[str]:
