@@ -363,7 +363,7 @@ def _(t):
 @case(
     "ix_39_sector_origins",
     """SELECT q.ibge_municipio_7 AS origin_id, (y0 + y1) / 2 AS origin_latitude, coalesce(CAST(p.populacao_residente AS DOUBLE), 0) AS origin_population,
-       CASE WHEN p.area_km2 < 2000 THEN 'available' ELSE 'missing_sector_population_not_scored' END AS origin_population_status
+       CASE WHEN p.populacao_residente IS NOT NULL THEN 'available' ELSE 'missing_sector_population_not_scored' END AS origin_population_status
        FROM st_squares q LEFT JOIN (SELECT ibge_municipio_7, area_km2, CASE WHEN area_km2 < 2000 THEN populacao_residente END AS populacao_residente FROM st_places) p USING (ibge_municipio_7)""",
     "origin_latitude origin_population",
 )

@@ -59,8 +59,8 @@ STANDINS: dict[str, str] = {
         FROM part""",
     "st_translation": """
         SELECT DISTINCT p_brand AS product_category_name,
-          lower(replace(p_brand, 'Brand#', 'category_')) AS product_category_name_english
-        FROM part WHERE p_brand <> 'Brand#7'""",
+          CASE WHEN p_brand <> 'Brand#7' THEN lower(replace(p_brand, 'Brand#', 'category_')) END AS product_category_name_english
+        FROM part""",
     "st_geolocation": """
         SELECT c_custkey % 1000 AS geolocation_zip_code_prefix,
           -34.0 + CAST((c_custkey * 7919) % 40000 AS DOUBLE) / 1e3 AS geolocation_lat,
@@ -94,9 +94,10 @@ STANDINS: dict[str, str] = {
             THEN center_lon + CAST((o_orderkey * 47) % 200 - 100 AS DOUBLE) / 1e3 END AS longitude
         FROM orders JOIN st_places ON o_custkey % 900000 = m""",
     "st_registry_latest": """
-        SELECT lpad(CAST(o_orderkey AS STRING), CAST(greatest(7, length(CAST(o_orderkey AS STRING))) AS INT), '0') AS cnes, '202606' AS competen,
+        SELECT CASE WHEN o_orderkey % 11 <> 0
+            THEN lpad(CAST(o_orderkey AS STRING), CAST(greatest(7, length(CAST(o_orderkey AS STRING))) AS INT), '0') END AS cnes, '202606' AS competen,
           CAST(100000 + o_custkey % 900000 AS STRING) AS codufmun, substr(o_orderpriority, 1, 1) AS tp_unid
-        FROM orders WHERE o_orderpriority <> '2-HIGH'""",
+        FROM orders""",
     "st_production": """
         SELECT lpad(CAST(l_orderkey AS STRING), CAST(greatest(7, length(CAST(l_orderkey AS STRING))) AS INT), '0') AS pa_coduni,
           substr(CAST(l_shipdate AS STRING), 1, 4) || substr(CAST(l_shipdate AS STRING), 6, 2) AS pa_cmp,
@@ -137,7 +138,7 @@ STANDINS: dict[str, str] = {
     "st_squares": """
         SELECT ibge_municipio_7, center_lon - 0.08 AS x0, center_lon + 0.08 AS x1, center_lat - 0.08 AS y0,
           center_lat + 0.08 AS y1, area_km2 > 2500 AS has_hole, center_lon, center_lat
-        FROM st_places WHERE populacao_residente IS NOT NULL""",
+        FROM st_places""",
     "st_seats": """
         SELECT ibge_municipio_7, center_lat + 0.01 AS seat_latitude, center_lon + 0.01 AS seat_longitude
         FROM st_places WHERE area_km2 > 1000""",
@@ -147,7 +148,7 @@ STANDINS: dict[str, str] = {
           center_lon + CAST((o_orderkey * 29) % 240 - 120 AS DOUBLE) / 1e3 AS origin_longitude,
           CAST((o_orderkey * 13) % 900 AS DOUBLE) AS origin_population, 'census' AS origin_source,
           'census_sector' AS origin_granularity, 2022 AS source_year
-        FROM orders JOIN st_places ON o_custkey % 900000 = m WHERE area_km2 IS NOT NULL""",
+        FROM orders JOIN st_places ON o_custkey % 900000 = m""",
     "st_connectivity": """
         SELECT ibge_municipio_7, ibge_municipio,
           CASE WHEN area_km2 < 4500 THEN CAST(40 + (m * 29) % 60 AS DOUBLE) END AS mobile_4g5g_resident_coverage_pct,

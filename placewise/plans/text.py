@@ -56,8 +56,9 @@ def tfidf(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = (),
         "term", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")
     )
     raw = tf.join(vocabulary, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    # a document's terms come together once, with their norm; there are as many as its text has words and pairs
+    rows = raw.groupBy(key).agg(F.collect_list(F.struct("term", "raw")).alias("_terms"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return rows.select(key, "norm", F.explode("_terms").alias("_t")).select(key, "_t.term", (F.col("_t.raw") / F.col("norm")).alias("weight"))
 
 
 def contrast_terms(reviews: DataFrame, key: str, text: str, rating: str, stop_words: Sequence[str] = (), low: float = 4, high: float = 8, **limits) -> DataFrame:
