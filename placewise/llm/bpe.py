@@ -204,9 +204,11 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str =
     return docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str = DEFAULT_RANKS) -> DataFrame:
-    """``encoded`` with the column decoded: the bytes of its ids. Bytes of a character split between tokens
-    come together; ids outside the vocabulary give U+FFFD; null ids give null."""
+def decode(encoded: DataFrame, path: str = DEFAULT_RANKS, name: str = "decoded") -> DataFrame:
+    """``encoded`` with the bytes of its ids in the column ``name``, which it must not have yet. Bytes of a
+    character split between tokens come together; ids outside the vocabulary give U+FFFD; null ids give null."""
+    if name in encoded.columns:
+        raise ValueError(f"there is a column {name} already: choose another name")
     ranks = read_ranks(path)
     at = encoded.columns.index("ids")
 
@@ -214,6 +216,6 @@ def decode(encoded: DataFrame, path: str = DEFAULT_RANKS) -> DataFrame:
         own = tables(ranks)
         for x in sliced(batches):
             found = [None if i is None else own.decode(i) for i in x.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(found, pa.binary())], [*x.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(found, pa.binary())], [*x.schema.names, name])
 
-    return encoded.mapInArrow(run, encoded.withColumn("decoded", F.lit(b"")).schema)
+    return encoded.mapInArrow(run, encoded.withColumn(name, F.lit(b"")).schema)

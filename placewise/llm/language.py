@@ -105,10 +105,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return Model(languages, np.log(counts / counts.sum(0)), np.log(prior / prior.sum()))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1, the posterior). Null texts and texts without a letter get
-    UNKNOWN and 0, and so does every text where nothing could be learned. Only the text is looked at."""
-    taken = {"lang_pred", "score"} & set(docs.columns)
+def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with ``label`` and ``score`` (0 to 1, the posterior), columns that it doesn't have yet. Null texts and
+    texts without a letter get UNKNOWN and 0, and so does every text where nothing could be learned. Only the text is
+    looked at."""
+    taken = {label, score} & set(docs.columns)
     if taken:
         raise ValueError(f"columns already there: {sorted(taken)}")
     at = docs.columns.index(text)
@@ -117,9 +118,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             found = [held.value.predict(t) for t in x.column(at).cast(pa.string()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*x.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*x.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*x.schema.names, label, score])
 
-    return docs.mapInArrow(run, docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    return docs.mapInArrow(run, docs.withColumns({label: F.lit(""), score: F.lit(0.0)}).schema)
 
 
 def held_out(id: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placewise.llm.common import raw, word_count, written
+from placewise.llm.common import raw, spare_names, word_count, written
 
 #: Words of a block, about; hexadecimal digits of the shard (16 ** digits shards a source); most repeats; seed.
 BLOCK, SHARD_DIGITS, REPEATS, SEED = 64, 2, 3, "mix-1"
@@ -151,9 +151,10 @@ def _texts(parts: list[dict], text: bytes, times: int) -> bytes:
 def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: a row for each time that words of a document are
     taken, its text the stretches taken so often. Documents with nothing taken go, and with them wordless
-    texts. Rows that repeat an id and its text all get the parts of the first of them."""
-    parts = mix(docs, id, text, source, **options).where("taken > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash")).agg(F.min("parts").alias("mix_parts"))
-    keyed = docs.join(parts, docs[id].eqNullSafe(F.col("mix_id")) & (F.xxhash64(docs[text].cast("string")) == F.col("mix_hash"))).drop("mix_id", "mix_hash")
+    texts. Rows that repeat an id and its text all get the parts of the first of them. Further columns may have any names."""
+    own_id, own_hash, own_parts = spare_names(docs, "mix_id", "mix_hash", "mix_parts")
+    parts = mix(docs, id, text, source, **options).where("taken > 0").groupBy(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).agg(F.min("parts").alias(own_parts))
+    keyed = docs.join(parts, docs[id].eqNullSafe(F.col(own_id)) & (F.xxhash64(docs[text].cast("string")) == F.col(own_hash))).drop(own_id, own_hash)
     names = docs.columns
     at = names.index(text)
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewise.llm.common import components, raw, word_runs, written
+from placewise.llm.common import components, raw, spare_names, word_runs, written
 
 #: Generator polynomial of the binary Golay code of length 23, seed of the shingle hash.
 GOLAY = 0b101011100011
@@ -166,8 +166,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", dis
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", distance: int = 2) -> DataFrame:
     """The documents without near copies: of each group the one with the smallest id stays, with all columns.
-    Rows that repeat an id are one document and stay together; rows with a null id stay."""
+    Rows that repeat an id are one document and stay together; rows with a null id stay, and so do further columns,
+    whatever their names."""
     found = near_duplicates(docs, id, text, distance)
-    keys = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(keys, F.col(id).cast("long") == F.col("kept_id"), "left_semi")
+    (kept_id,) = spare_names(docs, "kept_id")
+    keys = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept_id)).distinct()
+    kept = docs.join(keys, F.col(id).cast("long") == F.col(kept_id), "left_semi")
     return kept.unionByName(docs.where(F.col(id).isNull()))

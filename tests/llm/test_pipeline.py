@@ -2,11 +2,14 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from placewise.llm import language, lines, simhash
 from placewise.llm.common import written
 
+from .test_lines import plain
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -32,11 +35,33 @@ def test_language_stage_keeps_documents_with_a_language(steps):
 
 
 def test_line_stage(steps):
+    """Held against the brute force of the operator's tests on part of the documents, and against its result on all."""
     want = {r.doc_id: r.text for r in lines.without_repeated_lines(steps[1]).collect()}
     got = steps[2].collect()
     assert {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_line_stage_against_brute_force(spark, steps):
+    some = sorted(steps[1].collect(), key=lambda r: (len(r.text), r.doc_id))[:60]
+    docs = spark.createDataFrame(some, steps[1].schema)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert got == {i: t for i, t, *_ in plain([(r.doc_id, r.text) for r in sorted(some, key=lambda r: r.doc_id)])}
+
+
+NAMES = ("lang_pred", "score", "removed", "line_id", "line_tkey", "kept_id", "mix_id", "mix_hash", "mix_parts", "ids", "decoded")
+
+
+def test_clashing_columns(spark):
+    """Documents with a column for each name that a stage uses itself."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60)
+    docs = docs.withColumns({n: F.lit(f"own {n}") for n in NAMES})
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = written(stage(spark, at, SF), name)
+        assert at.columns == docs.columns and at.where(" OR ".join(f"{n} <> 'own {n}'" for n in NAMES)).count() == 0
+    assert at.count() and corpus_pipeline.byte_bpe(spark, at, SF).count() == at.count()
+
+
 def test_near_duplicate_stage(steps):
     groups = {}
     for r in steps[2].collect():
