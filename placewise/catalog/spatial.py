@@ -482,3 +482,13 @@ def _(t):
 )
 def _(t):
     return access.threshold_sensitivity(routed(t))
+
+
+@case(
+    "ix_33_threshold_members",
+    f"""{SUMMARY_CTES} SELECT h AS ubs_hard_minutes_threshold, e AS pharmacy_easy_minutes_threshold, name AS candidate_municipality,
+        row_number() OVER (PARTITION BY h, e ORDER BY u DESC, p, ibge_municipio_7) AS position
+        FROM rsu CROSS JOIN (SELECT unnest([10, 15, 20]) AS h) a CROSS JOIN (SELECT unnest([3, 5, 10]) AS e) b WHERE u >= h AND p <= e""",
+)
+def _(t):
+    return access.threshold_members(routed(t)).drop("total")

@@ -16,9 +16,11 @@ from placewise.functions.columns import (
     ratio,
 )
 from placewise.operators.aggregates import first_known_pivot, joined_values, share_of, weighted_mean
+from placewise.operators.draws import ranks_in_draws
 from placewise.operators.joins import left_unique, unique
 from placewise.operators.nearest import nearest_facilities
 from placewise.operators.ordering import quantiles, weighted_quantiles
+from placewise.runtime import stored
 from placewise.sources.payloads import parse_route
 from placewise.sources.readers import require_columns
 
@@ -385,20 +387,44 @@ def routing_summary(routed: DataFrame, hard: int = 15, easy: int = 5) -> DataFra
     )
 
 
-def threshold_sensitivity(summary: DataFrame, hard: tuple[int, ...] = (10, 15, 20), easy: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
-    """Count and ordered names of the targets for every pair of thresholds.
+#: Names of a pair of thresholds up to which they are also given as one text.
+LISTED = 10_000
+
 
-    The grid is a constant; the name lists are the report itself, over routed shortlist places.
+def threshold_members(summary: DataFrame, hard: tuple[int, ...] = (10, 15, 20), easy: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """(ubs_hard_minutes_threshold, pharmacy_easy_minutes_threshold, position, candidate_municipality, total): a row for each
+    target of every pair of thresholds, numbered from the longest way to the one and the shortest to the other.
+
+    Positions come from spread ranks, so no task holds a whole list.
     """
     grid = F.array(
-        *[F.struct(F.lit(h).alias("ubs_hard_minutes_threshold"), F.lit(e).alias("pharmacy_easy_minutes_threshold")) for h in hard for e in easy]
+        *[F.struct(F.lit(i).alias("draw"), F.lit(h).alias("hard"), F.lit(e).alias("easy")) for i, (h, e) in enumerate((h, e) for h in hard for e in easy)]
     )
     ubs, pharmacy = F.col("active_ubs_travel_time_minutes"), F.col("osm_pharmacy_travel_time_minutes")
-    name = F.concat_ws("/", "municipio_nome_oficial", "uf_sigla_oficial")
-    cells = summary.select(F.inline(grid), ubs.alias("u"), pharmacy.alias("p"), name.alias("name"), KEY_7)
-    hit = or_false((F.col("u") >= F.col("ubs_hard_minutes_threshold")) & (F.col("p") <= F.col("pharmacy_easy_minutes_threshold")))
-    entry = F.struct((-F.col("u")).alias("a"), F.col("p").alias("b"), F.col(KEY_7).alias("k"), "name")
-    names = F.transform(F.array_sort(F.collect_list(F.when(hit, entry))), lambda s: s["name"])
-    return cells.groupBy("ubs_hard_minutes_threshold", "pharmacy_easy_minutes_threshold").agg(
-        F.count_if(hit).alias("candidate_count"), F.array_join(names, "; ").alias("candidate_municipalities")
+    name = F.concat_ws("/", "municipio_nome_oficial", "uf_sigla_oficial").alias("name")
+    cells = summary.select(F.inline(grid), F.struct((-ubs).alias("a"), pharmacy.alias("b"), F.col(KEY_7).alias("k")).alias("value"), name)
+    hits = cells.filter((F.col("value.a") <= -F.col("hard")) & (F.col("value.b") <= F.col("easy")))
+    return ranks_in_draws(hits).select(
+        F.col("hard").alias("ubs_hard_minutes_threshold"),
+        F.col("easy").alias("pharmacy_easy_minutes_threshold"),
+        (F.col("total") + 1 - F.col("rank")).cast("long").alias("position"),
+        F.col("name").alias("candidate_municipality"),
+        "total",
     )
+
+
+def threshold_sensitivity(summary: DataFrame, hard: tuple[int, ...] = (10, 15, 20), easy: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """Count and ordered names of the targets for every pair of thresholds.
+
+    The names stand in one text where there are LISTED of them at most, else the text is null and
+    :func:`threshold_members` has them as rows.
+    """
+    pair = ["ubs_hard_minutes_threshold", "pharmacy_easy_minutes_threshold"]
+    members = stored(threshold_members(summary, hard, easy), "members")
+    counts = members.groupBy(*pair).agg(F.count(F.lit(1)).alias("candidate_count"))
+    few = members.filter(F.col("total") <= LISTED).groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("position", "candidate_municipality"))).alias("_n"))
+    texts = few.select(*pair, F.array_join(F.transform("_n", lambda s: s["candidate_municipality"]), "; ").alias("candidate_municipalities"))
+    grid = summary.sparkSession.createDataFrame([(h, e) for h in hard for e in easy], f"{pair[0]} int, {pair[1]} int")
+    found = grid.join(counts, pair, "left").join(texts, pair, "left")
+    none = F.col("candidate_count").isNull()
+    return found.select(*pair, F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.when(none, "").otherwise(F.col("candidate_municipalities")).alias("candidate_municipalities"))
