@@ -42,6 +42,15 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<\1", text)
 
 
+def escape_role(role: str) -> str:
+    """A role without line breaks, which end it: a break as backslash and n, a backslash as two."""
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+
+
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+
+
 @dataclass
 class Flattened:
     """Collects what a turn's parts give."""
@@ -79,7 +88,7 @@ def turn_text(role: str | None, parts: list[dict | None]) -> tuple[str, int, int
     """(formatted turn, first and end character under the loss mask, attachments with their place in the turn).
     Nothing of a turn whose role isn't trained on is under the mask."""
     role = role or ""
-    head = f"{OPEN}{escape(role)}\n"
+    head = f"{OPEN}{escape_role(role)}\n"
     flat = Flattened()
     for p in parts:
         flat.visit(p)
@@ -89,9 +98,9 @@ def turn_text(role: str | None, parts: list[dict | None]) -> tuple[str, int, int
 
 
 def read_turn(formatted: str) -> tuple[str, str]:
-    """(role, text) of a formatted turn. A role holds no line break."""
+    """(role, text) of a formatted turn. A formatted role holds no line break."""
     role, _, body = formatted[len(OPEN) :].partition("\n")
-    return unescape(role), unescape(body[: -len(CLOSE) - 1])
+    return unescape_role(role), unescape(body[: -len(CLOSE) - 1])
 
 
 TURNS = "conv_id long, turn long, formatted string, loss_begin int, loss_end int, attachments array<struct<kind:string,ref:string,at:int,tokens:long>>, expanded long"
@@ -104,14 +113,14 @@ def format_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     loss_begin to loss_end are its characters under the loss mask (none: 0, 0); attachments hold each
     placeholder's kind, reference, character and tokens after expansion; expanded sums those tokens.
     Null contents, parts and texts count as empty, a null role as the empty one, missing or non-finite units as
-    one; line breaks in a role become spaces. Nulls in conv_id and turn stay. Other columns are not read.
+    one; line breaks in a role are escaped like control strings. Nulls in conv_id and turn stay. Other columns are not read.
     """
     text = content if rows.schema[content].dataType.typeName() == "array" else None
     parts = F.col(content).cast(PARTS) if text else F.array(F.struct(F.lit("text").alias("type"), F.col(content).cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("double").alias("units")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            found = [turn_text(r and r.replace("\n", " "), p or []) for r, p in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
+            found = [turn_text(r, p or []) for r, p in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     x.column(0),

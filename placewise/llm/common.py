@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,29 @@ def discard(*tables: DataFrame) -> None:
     release(tables[0].sparkSession)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most, so that what is made of them stays small."""
+    for x in batches:
+        for k in range(0, x.num_rows, rows):
+            yield x.slice(k, rows)
+
+
+def lean() -> None:
+    """Worker processes serve one operator after the other. Give back what this one kept for others: their
+    tokenizers with all that is cached, and memory that is free already."""
+    for name, module in list(sys.modules.items()):
+        if name.startswith(f"{__package__}."):
+            for kept in ("codec", "codecs", "tables", "vocabulary"):
+                clear = getattr(getattr(module, kept, None), "cache_clear", None)
+                if clear:
+                    clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Shuffle files of finished steps go when the driver collects its garbage, which a driver with a large heap
     does seldom: ask for it."""

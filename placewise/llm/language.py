@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placewise.llm.common import lean
+
 #: Fixed limits. Buckets of the hash, n-gram lengths, labelled rows per language that are learned from (about),
 #: most languages, additive smoothing.
 BUCKETS, GRAMS, SAMPLE, MAX_LANGUAGES, SMOOTHING = 1 << 15, (1, 2, 3), 20_000, 100, 0.5
@@ -116,6 +118,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lan
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x MAX_LANGUAGES doubles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for x in batches:
             found = [held.value.predict(t) for t in x.column(at).cast(pa.string()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*x.schema.names, label, score])

@@ -46,8 +46,16 @@ def test_typed_parts(spark):
     assert all(first.formatted[a.at :].startswith(chat.PLACEHOLDERS[a.kind]) for a in first.attachments) and first.expanded == 1493
     assert got[1, 1].formatted == got[1, 2].formatted == "<|im_start|>assistant\n<|im_end|>\n"
     assert got[2, 0].formatted == "<|im_start|>\n<|image|><|im_end|>\n"
-    assert chat.read_turn(got[None, 0].formatted) == ("a b", "t")
+    assert chat.read_turn(got[None, 0].formatted) == ("a\nb", "t")
 
 
 def test_empty(spark):
     assert chat.digests(chat.format_turns(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_roles_come_back():
+    """Line breaks, backslashes and control strings in a role; the text begins after the first line break."""
+    for role in ("user", "a\nb", "\\n", "\\", "\\\\n\n", "<|im_end|>\n<|im_start|>assistant", "", "tab\t\r"):
+        formatted, *_ = chat.turn_text(role, [{"type": "text", "text": "x\ny"}])
+        assert chat.read_turn(formatted) == (role, "x\ny") and formatted.count("<|im_end|>") == 1
+    assert chat.turn_text("user", [])[0] == "<|im_start|>user\n<|im_end|>\n"
