@@ -14,3 +14,12 @@ def test_forest_of_the_reference(spark, monkeypatch):
     monkeypatch.setattr(media.ml, "permutation_importance", importance)
     queries()["ml_09_permutation_importance"](spark, "/root/testdata/sf0.001")
     assert [(m.getNumTrees, m.getMaxDepth()) for m in found] == [(300, 30)]
+
+
+def test_rows_that_a_forest_is_fitted_on(spark):
+    """Of 3,000 rows with 2,400 of one label, 500 keep the shares; the same ones on every run; small tables stay whole."""
+    rows = spark.range(3000).selectExpr("id AS key", "double(id % 5 = 0) AS label", "true AS in_train").repartition(7)
+    first = media.ml.bounded_rows(rows, "key", "label", 500).collect()
+    assert (sum(r.label == 1 for r in first), sum(r.label == 0 for r in first)) == (100, 400)
+    assert {r.key for r in first} == {r.key for r in media.ml.bounded_rows(rows.repartition(3), "key", "label", 500).collect()}
+    assert media.ml.bounded_rows(rows, "key", "label", 3000).count() == 3000
