@@ -708,7 +708,8 @@ def _(t):
 def _(t):
     moved = F.when(F.col("ubs_records") > 25, F.concat(F.lit("9"), F.substring("ibge_municipio", 2, 5))).otherwise(F.col("ibge_municipio"))
     src = t.st_gap_base.filter("area_km2 IS NOT NULL").select(moved.alias("ibge_municipio"), "ubs_records")
-    matched, invalid = jn.conform(t.st_universe, src, "ibge_municipio")
+    # places that share their last five digits may get the same moved code
+    matched, invalid = jn.conform(t.st_universe, src, "ibge_municipio", repeats=True)
     return matched.select("ibge_municipio", "ubs_records", F.col("universe_status").alias("status")).union(
         invalid.select("ibge_municipio", "ubs_records", F.lit("invalid_code"))
     )

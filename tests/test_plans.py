@@ -54,6 +54,39 @@ def test_conform(spark):
     assert [r.code for r in invalid.collect()] == ["9"]
 
 
+def test_conform_repeated_codes(spark):
+    """A code that the source repeats fails, or gives a row for each of its rows where that is asked for."""
+    universe = spark.createDataFrame([("1", "A"), ("2", "B")], "code string, nome string")
+    source = spark.createDataFrame([("1", 5), ("1", 7), ("9", 6), ("9", 8)], "code string, n int")
+    with pytest.raises(Exception, match="Duplicate key in source: 1"):
+        jn.conform(universe, source, "code")[0].collect()
+    matched, invalid = jn.conform(universe, source, "code", repeats=True)
+    assert sorted((r.code, r.n, r.universe_status) for r in matched.filter("n IS NOT NULL").collect()) == [("1", 5, "matched_source"), ("1", 7, "matched_source")]
+    assert [r.code for r in matched.filter("n IS NULL").collect()] == ["2"]
+    assert sorted(r.n for r in invalid.collect()) == [6, 8]
+
+
+def test_conform_universe_query_repeats(spark, tmp_path):
+    """Two places whose codes are moved to the same one, which a third place has: a row for each of the two."""
+    from placewise.catalog import QUERIES
+
+    keys = [(k, 0) for k in (1, 100001, 800001)]
+    spark.createDataFrame(keys, "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "N", 0)], "n_nationkey long, n_name string, n_regionkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(0, "R")], "r_regionkey long, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    orders = [(i, k, "1-URGENT") for k, n in ((1, 26), (100001, 27), (800001, 1)) for i in range(n)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 1, "p")], "p_partkey long, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    rows = QUERIES["jn_08_conform_universe"](spark, str(tmp_path)).collect()
+    assert sorted((r.ibge_municipio, r.ubs_records or 0, r.status) for r in rows) == [
+        ("100001", 0, "missing_source_record"),
+        ("200001", 0, "missing_source_record"),
+        ("900001", 1, "matched_source"),
+        ("900001", 26, "matched_source"),
+        ("900001", 27, "matched_source"),
+    ]
+
+
 def test_physicians(spark):
     """The longer of two contracts at one facility counts; a second document number stands in for a missing first;
     other occupations and rows without a person don't count."""
