@@ -8,7 +8,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewise.runtime import cut
+from placewise.runtime import stored
 
 TOKEN = r"(?U)\b\w\w+\b"
 MIN_DOCUMENTS = 8
@@ -21,12 +21,13 @@ def english_stop_words() -> list[str]:
 
 def term_counts(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = ()) -> DataFrame:
     """(doc, term, tf) of one- and two-word terms: lower case, tokens of two or more word characters,
-    stop words removed before pairs are formed. Whole texts are read."""
+    stop words removed before pairs are formed. Whole texts are read.
+
+    The texts travel to their document's task; their terms, several times as large, are counted there."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), 1)
     if stop_words:
-        stop = F.array(*[F.lit(w) for w in stop_words])
-        words = F.filter(words, lambda w: ~F.array_contains(stop, w))
-    split = docs.select(key, words.alias("w"))
+        words = F.filter(words, lambda w: ~w.isin(*stop_words))
+    split = docs.select(key, text).repartition(key).select(key, words.alias("w"))
     n = F.size("w")
     pairs = F.when(
         n > 1,
@@ -41,9 +42,10 @@ def tfidf(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = (),
     """(doc, term, weight) with smooth idf and unit-length rows.
 
     The vocabulary is every term found in ``min_df`` documents or more, or the ``max_terms`` most counted of
-    them; ties go by term. Counts per document are written once and serve the vocabulary and the weights.
+    them; ties go by term. Counts per document and the vocabulary are written as tables: a vocabulary that Spark finds
+    small enough to broadcast spares the counts a shuffle.
     """
-    tf = cut(term_counts(docs, key, text, stop_words))
+    tf = stored(term_counts(docs, key, text, stop_words), "terms")
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
     vocabulary = (
         tf.groupBy("term")
@@ -55,6 +57,7 @@ def tfidf(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = (),
     vocabulary = vocabulary.crossJoin(F.broadcast(n_docs)).select(
         "term", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")
     )
+    vocabulary = stored(vocabulary, "vocabulary")
     raw = tf.join(vocabulary, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
     # a document's terms come together once, with their norm; there are as many as its text has words and pairs
     rows = raw.groupBy(key).agg(F.collect_list(F.struct("term", "raw")).alias("_terms"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placewise.operators import joins as jn
 from placewise.plans import access, decisions, supply
 from placewise.plans import territory as terr
+from placewise.plans import text
 from placewise.sinks import writers
 from placewise.sources import payloads, readers
 
@@ -269,3 +270,14 @@ def test_point_features_keep_nulls(spark):
     df = spark.createDataFrame([("a", -10.0, -50.0, True), ("b", 1.0, 2.0, False)], "name string, latitude double, longitude double, valid_coordinates boolean")
     feature = json.loads(one(writers.point_features(df.withColumn("uf", F.lit(None).cast("string")))).value)
     assert feature["geometry"]["coordinates"] == [-50.0, -10.0] and feature["properties"] == {"name": "a", "uf": None}
+
+
+def test_term_counts_travel_as_texts(spark):
+    """Terms are counted where their document's text lies, so the one exchange is below the step that makes them;
+    rows of one document count together."""
+    docs = spark.createDataFrame([(1, "Cats chase the mice"), (1, "cats"), (2, "a the"), (3, None)], "k long, text string")
+    found = text.term_counts(docs, "k", "text", ["the"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.index("Generate ") < plan.index("Exchange ")
+    rows = {(r.k, r.term): r.tf for r in found.collect()}
+    assert rows == {(1, "cats"): 2, (1, "chase"): 1, (1, "mice"): 1, (1, "cats chase"): 1, (1, "chase mice"): 1}
