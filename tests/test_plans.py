@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placewise.operators import joins as jn
-from placewise.plans import access, decisions, supply
+from placewise.plans import access, decisions, orders, supply
 from placewise.plans import territory as terr
 from placewise.plans import text
 from placewise.sinks import writers
@@ -281,3 +281,18 @@ def test_term_counts_travel_as_texts(spark):
     assert plan.count("Exchange ") == 1 and plan.index("Generate ") < plan.index("Exchange ")
     rows = {(r.k, r.term): r.tf for r in found.collect()}
     assert rows == {(1, "cats"): 2, (1, "chase"): 1, (1, "mice"): 1, (1, "cats chase"): 1, (1, "chase mice"): 1}
+
+
+def test_order_metrics_send_each_row_once(spark):
+    """Distinct counts of an order leave out nulls, keep their type and need no expanded copies of the rows."""
+    rows = [(1, 1, 7, 3, 2.0), (1, 2, 7, None, 3.0), (1, 3, 8, 4, 5.0), (2, 1, None, None, 1.0)]
+    items = spark.createDataFrame(rows, "order_id long, order_item_id long, product_id long, seller_id long, price double")
+    items = items.withColumns({"freight_value": F.lit(1.0), "shipping_limit_date": F.lit("2024-01-01").cast("timestamp")})
+    found = orders.item_metrics(items)
+    assert {r.order_id: (r.item_count, r.product_count, r.seller_count, r.total_price) for r in found.collect()} == {1: (3, 2, 2, 10.0), 2: (1, 0, 0, 1.0)}
+    paid = spark.createDataFrame([(1, "a", 2.0, 1), (1, "a", 3.0, 2), (1, None, 1.0, 1)], "order_id long, payment_type string, payment_value double, payment_installments int")
+    methods = orders.payment_metrics(paid)
+    assert [r.payment_methods for r in methods.collect()] == [1]
+    for df, names in ((found, ("product_count", "seller_count")), (methods, ("payment_methods",))):
+        assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
+        assert all(dict(df.dtypes)[n] == "bigint" for n in names)
