@@ -1,5 +1,7 @@
 """The permutation importances are those of the reference's forest."""
 
+import hashlib
+
 from __spark_entry__ import queries
 from placewise.catalog import media
 
@@ -23,3 +25,31 @@ def test_rows_that_a_forest_is_fitted_on(spark):
     assert (sum(r.label == 1 for r in first), sum(r.label == 0 for r in first)) == (100, 400)
     assert {r.key for r in first} == {r.key for r in media.ml.bounded_rows(rows.repartition(3), "key", "label", 500).collect()}
     assert media.ml.bounded_rows(rows, "key", "label", 3000).count() == 3000
+
+
+def test_numbers_that_no_tree_tells_apart(spark):
+    """900 different numbers become at most 32, each row keeps its prediction, and the drops are those of scoring
+    every permuted row by itself."""
+    rows = spark.range(900).selectExpr("id AS key", "double(id * 7 % 900) AS x", "double(id * 13 % 50) AS y", "concat('k', id % 3) AS kind", "int((id * 7 % 900) / 300 + id % 3 > 2) AS target")
+    fitted = media.ml.fit(rows, ["x", "y"], ["kind"], media.ml.forest("target", trees=10, depth=6))
+    got = media.ml._alike(fitted, rows, ["x", "y", "kind"])
+    assert got.columns == rows.columns and got.select("x").distinct().count() <= 32
+    before, after = ({r.key: r.predicted for r in media.ml.score(fitted, x, "target", ["key"]).collect()} for x in (rows, got))
+    assert before == after and len(after) == 900
+
+    features = ["x", "y", "kind"]
+    own = {r.key: r for r in rows.collect()}
+    base = sum(before[k] == own[k].target for k in own) / 900
+    place = lambda salt, f, run: sorted(own, key=lambda k: hashlib.md5(f"42{salt}:{f}:{run}:{k}".encode()).hexdigest()[:13])
+    moved = []
+    for f in features:
+        for run in (1, 2):
+            for k, donor in zip(place("a", f, run), place("b", f, run)):
+                moved.append((f"{f} {run}", *[own[donor if c == f else k][c] for c in features], own[k].target))
+    moved = spark.createDataFrame(moved, "at string, x double, y double, kind string, target int")
+    hits = {r.at: r.n for r in media.ml.score(fitted, moved, "target", ["at"]).where("label = predicted").groupBy("at").count().withColumnRenamed("count", "n").collect()}
+    drops = {f: [base - hits[f"{f} {run}"] / 900 for run in (1, 2)] for f in features}
+    got = {r.feature: r for r in media.ml.permutation_importance(fitted, rows, "key", "target", features, repeats=2).collect()}
+    assert set(got) == set(features)
+    for f, (a, b) in drops.items():
+        assert abs(got[f].importance_mean - (a + b) / 2) < 1e-12 and abs(got[f].importance_std - abs(a - b) / 2) < 1e-12
