@@ -145,16 +145,21 @@ def _descent(cells: DataFrame, opened: DataFrame) -> DataFrame:
     return twice.select(*[F.col("_from")[c].alias(c) for c in CELL], F.coalesce("to", "_first").alias("to"))
 
 
-def _micrometres(radius: float) -> Column:
+def _micrometres(point: Column, radius: float) -> Column:
     """Whole micrometres between two unit vectors: equal distances compare equal, and no decimal rounding runs per pair."""
-    return F.floor(F.asin(F.least(F.lit(1.0), F.sqrt(_chord_sq()) / 2)) * (2e9 * radius) + 0.5)
+    return F.floor(F.asin(F.least(F.lit(1.0), F.sqrt(_chord_sq(point)) / 2)) * (2e9 * radius) + 0.5)
 
 
-def _chord_sq() -> Column:
-    gap = [F.col(f"f{a}") - F.col(f"o{a}") for a in "xyz"]
+def _chord_sq(point: Column) -> Column:
+    gap = [point[f"f{a}"] - F.col(f"o{a}") for a in "xyz"]
     return gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
 
 
+def _best(points: str, radius: float) -> Column:
+    """The nearest of a cell's points, which come as an array: an origin gives one row for a cell, not one for a point."""
+    return F.array_min(F.transform(points, lambda p: F.struct(_micrometres(p, radius).alias("d"), p["fid"].alias("id"))))
+
+
 def nearest_facilities(
     origins: DataFrame,
     facilities: Mapping[str, DataFrame],
@@ -199,6 +204,8 @@ def nearest_facilities(
         deeper = cells.filter(F.col("level") >= k)
         above = deeper.select(*_parents(deeper, k), "lat", "lon").join(opened, CELL, "left_semi")
         baits = baits.unionByName(above.select(*CELL, F.lit(None).cast("string").alias("fid"), F.lit(True).alias("tree"), *_unit("lat", "lon", "f")))
+    point = F.struct("fid", "fx", "fy", "fz")
+    baits = baits.groupBy(*CELL).agg(F.collect_list(F.when(F.col("tree"), point)).alias("baits"), F.collect_list(F.when(F.col("fid").isNotNull(), point)).alias("points"))
     baits = stored(baits, "baits")
 
     # each distinct place is searched once for every kind
@@ -209,12 +216,14 @@ def nearest_facilities(
     place = F.struct("level", "x", "y")
     located = held.groupBy("olat", "olon", "kind").agg(F.coalesce(F.min(F.when(~F.col("open"), place)), F.max(F.when(F.col("open"), place))).alias("at"))
     located = located.select("olat", "olon", "kind", "at.*", *_unit("olat", "olon", "o"))
-    near = located.join(baits.filter("tree"), CELL).select("olat", "olon", *CELL, "fid", (_chord_sq() / 4).alias("a"), _micrometres(radius).alias("d"))
+    # a leaf's baits are its points; those of an open cell have no id
+    near = located.join(baits.filter("size(baits) > 0").select(*CELL, "baits", (F.col("baits")[0]["fid"].isNotNull()).alias("leaf")), CELL).select(
+        "olat", "olon", *CELL, F.when(F.col("leaf"), _best("baits", radius)).alias("best"), (F.array_min(F.transform("baits", _chord_sq)) / 4).alias("a")
+    )
     anywhere = cells.groupBy("kind").agg(F.min(F.struct("lat", "lon")).alias("p"))  # a row for each kind
-    far = spots.crossJoin(F.broadcast(anywhere)).select("olat", "olon", "kind", *[F.lit(None).cast(t).alias(c) for c, t in (("level", "int"), ("x", "long"), ("y", "long"), ("fid", "string"))], _to("p.lat", "p.lon").alias("a"), F.lit(None).cast("long").alias("d"))
-    best = F.min(F.when(F.col("fid").isNotNull(), F.struct("d", F.col("fid").alias("id")))).alias("best")
-    own = F.max(F.when(F.col("fid").isNotNull(), F.struct("level", "x", "y"))).alias("own")
-    bounded = near.unionByName(far).groupBy("olat", "olon", "kind").agg(F.min("a").alias("bound"), best, own)
+    far = spots.crossJoin(F.broadcast(anywhere)).select("olat", "olon", "kind", *[F.lit(None).cast(t).alias(c) for c, t in (("level", "int"), ("x", "long"), ("y", "long"), ("best", "struct<d:bigint,id:string>"))], _to("p.lat", "p.lon").alias("a"))
+    own = F.max(F.when(F.col("best").isNotNull(), F.struct("level", "x", "y"))).alias("own")
+    bounded = near.unionByName(far).groupBy("olat", "olon", "kind").agg(F.min("a").alias("bound"), F.min("best").alias("best"), own)
     bounded = bounded.select("olat", "olon", "kind", "bound", "best", "own.*")
     bounded = stored(bounded.withColumn("done", F.coalesce(_inside(), F.lit(False))), "bounded")
 
@@ -223,8 +232,8 @@ def nearest_facilities(
     for _ in range((steps + 1) // 2):
         below = frontier.join(descent, CELL, "left").filter(F.col("to").isNull() | _touched("to."))
         frontier = below.select("olat", "olon", "bound", *[F.coalesce(F.col("to")[c], F.col(c)).alias(c) for c in CELL])
-    searched = frontier.select("olat", "olon", *CELL, *_unit("olat", "olon", "o")).join(baits.filter("fid IS NOT NULL").drop("tree"), CELL)
-    second = searched.select("olat", "olon", "kind", F.struct(_micrometres(radius).alias("d"), F.col("fid").alias("id")).alias("best"))
+    searched = frontier.select("olat", "olon", *CELL, *_unit("olat", "olon", "o")).join(baits.filter("size(points) > 0").select(*CELL, "points"), CELL)
+    second = searched.select("olat", "olon", "kind", _best("points", radius).alias("best"))
     result = bounded.filter("done").select("olat", "olon", "kind", "best").unionByName(second)
     columns = []
     for kind, label in enumerate(labels):

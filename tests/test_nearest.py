@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from placewise.operators import nearest
 from placewise.operators.nearest import RADIUS_KM, nearest_facility
 
 
@@ -55,3 +56,21 @@ def test_no_valid_facility_is_an_error(spark):
     f = spark.createDataFrame([("x", 40.0, 10.0)], "facility_id string, latitude double, longitude double")
     with pytest.raises(ValueError):
         nearest_facility(o, f, "ubs")
+
+
+def test_points_of_a_cell_travel_together(spark, monkeypatch):
+    """An origin meets a cell as one row with its points, so that it gives one row, not one for each point."""
+    kept = {}
+
+    def stored(df, name):
+        kept[name] = df.localCheckpoint()
+        return kept[name]
+
+    monkeypatch.setattr(nearest, "stored", stored)
+    rng = np.random.default_rng(5)
+    rows = [(f"f{i}", float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-30, 0, 400), rng.uniform(-70, -40, 400)))]
+    points = spark.createDataFrame(rows, "facility_id string, latitude double, longitude double")
+    origins = points.selectExpr("latitude + 0.01 AS origin_latitude", "longitude AS origin_longitude")
+    assert nearest_facility(origins, points, "x").filter("nearest_x_id IS NULL").count() == 0
+    cells = kept["baits"].groupBy(*nearest.CELL).agg(F.count("*").alias("n"))
+    assert cells.filter("n > 1").count() == 0 and kept["baits"].agg(F.max(F.size("points"))).first()[0] > 8
