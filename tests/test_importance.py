@@ -101,3 +101,11 @@ def test_forest_in_parts(spark, monkeypatch):
     assert {r.key: r.predicted for r in media.ml.score(fitted, alike, "target", ["key"]).collect()} == {k: r.predicted for k, r in got.items()}
     found = {r.feature: r.importance_mean for r in media.ml.permutation_importance(fitted, rows, "key", "target", ["x", "y", "kind"], repeats=2).collect()}
     assert set(found) == {"x", "y", "kind"} and found["x"] > 0.1
+
+
+def test_permuted_rows_are_not_broadcast(spark):
+    """A row for each feature and repeat: Spark takes them for as few as the rows themselves."""
+    rows = spark.range(300).selectExpr("id AS key", "double(id) AS x", "concat('k', id % 3) AS kind", "double(id > 150) AS target")
+    fitted = media.ml.fit(rows, ["x"], ["kind"], media.ml.forest("target", trees=2, depth=2))
+    plan = media.ml.permutation_importance(fitted, rows, "key", "target", ["x", "kind"], repeats=2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [run" in plan and "HashJoin [run" not in plan
