@@ -1,6 +1,6 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
-Counts per language and bucket come from a bounded, seeded sample of labelled rows. The matrix of log
+Counts per language and bucket come from all labelled rows, summed in each task first. The matrix of log
 probabilities (languages x buckets, both bounded) goes to every task; a text's sparse n-gram counts are
 multiplied with it in numpy.
 """
@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 from placewise.llm.common import lean
 
-#: Fixed limits. Buckets of the hash, n-gram lengths, labelled rows per language that are learned from (about),
-#: most languages, additive smoothing.
-BUCKETS, GRAMS, SAMPLE, MAX_LANGUAGES, SMOOTHING = 1 << 15, (1, 2, 3), 20_000, 100, 0.5
+#: Fixed limits. Buckets of the hash, n-gram lengths, most languages, additive smoothing.
+BUCKETS, GRAMS, MAX_LANGUAGES, SMOOTHING = 1 << 15, (1, 2, 3), 100, 0.5
 UNKNOWN = "und"
 PIECE = 1 << 20
 
@@ -75,9 +74,9 @@ class Model:
         return self.languages[best], float(1 / np.exp(score - score[best]).sum())
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model of the rows with text and lang. Of a language with more than ``sample`` rows about so many are
-    taken, by the hash of their key; whole texts are counted. Ties between languages go to the first by
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int | None = None) -> Model:
+    """A model of all rows with text and lang; if told so, of about ``sample`` rows of a language with more, by the
+    hash of their key. Whole texts are counted. Ties between languages go to the first by
     name. More than MAX_LANGUAGES languages are an error, since the model is held in memory."""
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).alias("key")).where("text is not null and lang is not null")
     number = dict(rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect())
@@ -86,8 +85,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     if not number:
         return Model((), np.zeros((BUCKETS, 0)), np.zeros(0))
     languages = tuple(sorted(number))
-    rate = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample / number[lang]))])[F.col("lang")]
-    picked = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < rate * (1 << 20))
+    if sample is not None:
+        rate = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample / number[lang]))])[F.col("lang")]
+        rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < rate * (1 << 20))
     place = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(sums[i, j])], ["lang", "bucket", "n"])
 
     counts = np.full((BUCKETS, len(languages)), SMOOTHING)
-    found = picked.select("text", "lang").mapInArrow(run, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = rows.select("text", "lang").mapInArrow(run, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     for i, j, n in found.toLocalIterator():  # languages x buckets rows at most
         counts[j, i] += n
     prior = np.array([float(number[x]) for x in languages])

@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+
 from placewise.llm import language
 
 from .helpers import frame
@@ -35,3 +37,11 @@ def test_bounded_sample(spark):
     rows = [(i, "abc def", "en" if i % 10 else "de", "") for i in range(2000)]
     model = language.fit(frame(spark, rows, SCHEMA), sample=100)
     assert model.languages == ("de", "en")
+
+
+def test_learns_from_all_rows(spark):
+    """25,000 rows of a language: each is counted."""
+    rows = spark.range(25_000).selectExpr("id AS doc_id", "'abc def' AS text", "'en' AS lang")
+    model = language.fit(rows)
+    counts = 25_000 * language.grams("abc def") + language.SMOOTHING
+    assert np.allclose(model.weights[:, 0], np.log(counts / counts.sum()), rtol=0, atol=1e-12)
